@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weirflow.llm import chat, quality, sharding, urls, warc
+from weirflow.llm import chat, decontam, mixing, near_dup, quality, sharding, urls, warc
 from weirflow.llm._common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,13 +14,16 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_near_dup": lambda s, d: near_dup.op1_rows(read(s, d, "documents")),
         "op2_warc": lambda s, d: warc.op2_rows(read(s, d, "pages")),
         "op3_quality": lambda s, d: quality.op3_rows(read(s, d, "documents")),
+        "op4_mixing": lambda s, d: mixing.op4_rows(read(s, d, "documents")),
         "op5_sharding": lambda s, d: sharding.shard(read(s, d, "documents")),
+        "op6_decontam": lambda s, d: decontam.op6_rows(read(s, d, "documents"), read(s, d, "benchmark")),
         "op8_chat": lambda s, d: chat.op8_rows(chat.with_probe(read(s, d, "conversations"))),
         "op10_urls": lambda s, d: urls.judge(read(s, d, "pages")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_mixing": mixing.ORACLE, "op6_decontam": decontam.ORACLE}
