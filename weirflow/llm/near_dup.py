@@ -73,7 +73,7 @@ def labelled_shingles(word_hashes: np.ndarray) -> np.ndarray:
         at = np.arange(len(s))
         occurrence = np.empty(len(s), np.uint64)
         occurrence[order] = at - np.maximum.accumulate(np.where(new, at, 0))
-        s = _mix(s + occurrence * np.uint64(0x9E3779B97F4A7C15))
+        s = np.where(occurrence > 0, _mix(s + occurrence * np.uint64(0x9E3779B97F4A7C15)), s)
     return s
 
 
