@@ -1,0 +1,74 @@
+import hashlib
+import re
+
+from weirflow.llm import pii
+
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
+IP = r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
+CARD = r"[0-9]([\x20-]?[0-9])+"
+PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
+
+
+def luhn(d):
+    s = 0
+    for i, c in enumerate(reversed(d)):
+        v = int(c) * (1 + i % 2)
+        s += v - 9 if v > 9 else v
+    return s % 10 == 0
+
+
+def brute(t):
+    t = t or ""
+    digits = lambda m: re.sub("[^0-9]", "", m)
+    ok = {
+        "email": lambda m: True,
+        "ip": lambda m: all(int(x) <= 255 for x in m.split(".")),
+        "card": lambda m: 13 <= len(digits(m)) <= 19 and luhn(digits(m)),
+        "phone": lambda m: 9 <= len(digits(m)) <= 15,
+    }
+    found = {k: [m.span() for m in re.finditer(p, t) if ok[k](m[0])] for k, p in zip(ok, (EMAIL, IP, CARD, PHONE), strict=True)}
+    joined = ",".join(f"{k}:{a}:{b}" for k, v in found.items() for a, b in v)
+    return [len(v) for v in found.values()], hashlib.sha256(joined.encode()).hexdigest(), joined
+
+
+CASES = [
+    "a@b.c_d@e.f g@h", "x..y@z.co.uk, 🙂 q@w.é", "1.2.3.4.5.6.7.8.9", "1.2.3 4.5.6.7 256.1.1.1 0255.0.0.01 00000256.1.1.1", "4111 1111 1111 1111 4111-1111-1111-1112",
+    "41111111111111111111111111111111", "+1 (736) 555-2678, +1+2 345 678 901 +123456789012345678", "+1 2", "é+1 555 555 5555é 漢a@b.cc", "@@@ a@ @b.c a@b", "1 2 3 4 5 6 7 8 9 0 1 2 8", "a@b.c.d-e.f_", "9.9.9.9@x.y",
+]
+
+
+def test_base_equals_brute_force(spark, docs, rng):
+    alphabet = ["1", "4", "0", ".", "@", "a", "-", " ", "+", "(", "é", "🙂", "255", "a@b.c", "+1 555", "\n"]
+    rows = [(i, "".join(rng.choice(alphabet) for _ in range(rng.randrange(80)))) for i in range(400)]
+    rows += [(1000 + i, t) for i, t in enumerate(CASES)] + [(2000, " ".join(f"u{i}@h{i}.org 10.0.{i % 256}.7" for i in range(300)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for d in (df, docs):
+        got = sorted(((r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in pii.op7_rows(d).collect()))
+        assert got == sorted((*brute(r.text)[0], brute(r.text)[1]) for r in d.collect())
+
+
+def test_very_long_tokens_cost_linear_time(spark):
+    long = ["a" * 300_000, "1" * 300_000, "1." * 150_000, "+1" + " " * 300_000, "a@b" + ".c" * 100_000, "1 " * 100_000, "a@" * 100_000]
+    got = {r.doc_id: r for r in pii.op7_rows(spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")).collect()}
+    assert got[4].n_email == 1 and got[6].n_email == 0 and len(got) == len(long)
+
+
+def test_contexts_find_unseen_identifiers(spark, rng):
+    rows, unseen = [], "login= zq81xx ok"
+    for i in range(12):
+        rows.append((i, f"then token={'%032x' % rng.getrandbits(127)}a1 said, login= {'%020x' % rng.getrandbits(79)}b2 too"))
+    rows += [(100, "here token=hunter2x99 is"), (101, unseen), (102, "the year 2024-01-02 was said by 123456 people"), (103, "write to a1@b.cc now")]
+    got = {r.doc_id: r.spans for r in pii.op7_rows(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100] == "secret:11:21"
+    assert got[101] == "secret:7:13"
+    assert got[102] == "" and got[103] == "email:9:16"
+    assert all(got[i].count("secret:") == 2 for i in range(12))
+
+
+def test_base_spans_stay_among_all(docs):
+    for r in pii.op7_rows(docs).collect():
+        assert r.n_email + r.n_ip + r.n_card + r.n_phone <= len(r.spans.split(","))  or not r.spans
+
+
+def test_empty_table(no_docs):
+    assert pii.op7_rows(no_docs).count() == 0

@@ -25,13 +25,11 @@ def words(text: Column, gap: str = GAP) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), gap), "")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder.
+def checkpoint_path(spark: SparkSession) -> str:
+    """This session's folder in the shared ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset
-    (tests, notebooks) a temporary one is made, and removed at exit.
+    Only where that is unset (tests, notebooks) a temporary one is made, and removed at exit.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
         path = context.getConf().get("spark.checkpoint.dir", "")
@@ -39,6 +37,12 @@ def cut(df: DataFrame) -> DataFrame:
             path = tempfile.mkdtemp(prefix="checkpoint-")
             atexit.register(shutil.rmtree, path, ignore_errors=True)
         context.setCheckpointDir(path)
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    checkpoint_path(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -50,3 +54,35 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
 def text_key(text: Column) -> Column:
     """With doc_id, tells rows apart that share an id but not a text."""
     return F.xxhash64(text)
+
+
+def bind(col: Column, f) -> Column:
+    """f of a column that is evaluated once, however often f uses it."""
+    return F.get(F.transform(F.array(col), f), F.lit(0))
+
+
+def running_sum(values: Column) -> Column:
+    """The running sums of an array of longs.
+
+    Appending copies the array, so sums are made in chunks of about the square root of its
+    size and shifted by the sums of the chunks before.
+    """
+    zero = F.lit(0).cast("long")
+    none = F.array().cast("array<bigint>")
+    grow = lambda a, x: F.concat(a, F.array(F.coalesce(F.element_at(a, -1), zero) + x))
+    sums = lambda xs: F.aggregate(xs, none, lambda a, x: F.when(F.size(a) == 0, F.array(x)).otherwise(grow(a, x)))
+
+    def by_chunk(width: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / width).cast("int"))
+        inner = F.transform(starts, lambda k: sums(F.slice(values, k * width + 1, width)))
+        return bind(
+            inner,
+            lambda chunks: bind(
+                sums(F.transform(chunks, lambda c: F.element_at(c, -1))),
+                lambda before: F.flatten(
+                    F.transform(chunks, lambda c, k: F.transform(c, lambda x: x + F.coalesce(F.get(before, k - 1), zero)))
+                ),
+            ),
+        )
+
+    return F.when(F.size(values) == 0, none).otherwise(bind(F.ceil(F.sqrt(F.size(values))).cast("int"), by_chunk))

@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weirflow.llm._common import bind, running_sum
+
 START, TEXT, MORE, END = "<|start|>", "<|text|>", "<|more|>", "<|end|>"
 
 
@@ -27,10 +29,6 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
-def _bind(col: Column, f) -> Column:
-    return F.get(F.transform(F.array(col), f), F.lit(0))
-
-
 def format_turns(turns: DataFrame, trained: str = "assistant") -> DataFrame:
     """conv_id, ``formatted``, and ``loss_mask``: code-point spans of the trained role's text.
 
@@ -47,7 +45,7 @@ def format_turns(turns: DataFrame, trained: str = "assistant") -> DataFrame:
     heads = F.filter(
         F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i).role != F.get(t, i - 1).role)
     )
-    messages = _bind(
+    messages = bind(
         heads,
         lambda h: F.transform(
             h,
@@ -80,11 +78,8 @@ def format_turns(turns: DataFrame, trained: str = "assistant") -> DataFrame:
     parts = whole.select("conv_id", segments.alias("s"))
     s = F.col("s")
     lengths = F.transform(s, lambda x: (F.length(x.before) + F.length(x.text)).cast("long"))
-    ends = F.aggregate(
-        lengths, F.array().cast("array<bigint>"),
-        lambda a, x: F.concat(a, F.array(F.coalesce(F.get(a, F.size(a) - 1), F.lit(0).cast("long")) + x)),
-    )
-    mask = _bind(
+    ends = running_sum(lengths)
+    mask = bind(
         ends,
         lambda e: F.filter(
             F.transform(
@@ -150,3 +145,22 @@ def with_probe(turns: DataFrame) -> DataFrame:
         "AS t(conv_id, turn, role, text)", args={"said": said},
     )
     return turns.select("conv_id", "turn", "role", "text").unionByName(probe)
+
+
+#: op8 as SQL: the same digests from the turns, and the length from the template.
+ORACLE = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+), l AS (
+  SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before,
+         length(replace(replace(text, '\', '\\'), '<|', '<\|')) AS chars, length(replace(replace(role, '\', '\\'), '<|', '<\|')) AS role_chars
+  FROM c
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       (7 + sum(chars + CASE WHEN before = role THEN 8 ELSE 17 + role_chars + CASE WHEN before IS NULL THEN 0 ELSE 7 END END))::BIGINT AS formatted_chars
+FROM l GROUP BY conv_id
+"""

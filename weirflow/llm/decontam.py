@@ -103,10 +103,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, slop: int
     terms = cut(anchored.select("term").distinct())
     index = cut(postings(docs, terms, terms.count()))
     n_anchors = anchored.count()
-    votes = index.join(small(anchored, n_anchors), "term").select(
-        "doc_id", "key", "wid", "need", (F.col("pos") - F.col("off")).alias("start"), "slot"
-    )
-    votes = votes.where("start >= 0" if not slop else "true")
+    first = F.col("pos") - F.col("off")
+    starts = F.explode(F.sequence(first - slop, first + slop)) if slop else first
+    votes = index.join(small(anchored, n_anchors), "term").select("doc_id", "key", "wid", "need", starts.alias("start"), "slot")
+    if not slop:
+        votes = votes.where("start >= 0")
     agreed = (
         votes.groupBy("doc_id", "key", "wid", "need", "start")
         .agg(F.bit_or(F.when(F.col("slot") == 0, 1).otherwise(2)).alias("slots"))

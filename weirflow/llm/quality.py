@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm._common import GAP, words
+from weirflow.llm._common import GAP, bind, words
 
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -86,8 +86,7 @@ def _repeat_words(w: Column) -> Column:
             lambda a, x: a + x,
         )
 
-    # each step is bound to a lambda variable, so that it is evaluated once
-    bind = lambda col, f: F.get(F.transform(F.array(col), f), F.lit(0))
+    # each step is evaluated once
     value = bind(packed, lambda p: bind(by_text(p), lambda s: bind(places(s), covered)))
     return F.when(n >= 3, value).otherwise(F.lit(0).cast("long"))
 
@@ -100,7 +99,6 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ).select("doc_id", "t", words(F.col("t")).alias("w"))
     w, t = F.col("w"), F.col("t")
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.regexp_replace(x, GAP, "")) > 0)
-    bind = lambda col, f: F.get(F.transform(F.array(col), f), F.lit(0))
     chars = F.length(t)
     return base.select(
         "doc_id",
@@ -178,3 +176,30 @@ def keep(docs: DataFrame, policy: str = "v1") -> DataFrame:
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     wrapped = docs.select(row.alias("row"), F.col("text"))
     return ledger(wrapped, "row", "text").where(verdict(F.col("failures"), policy)).select("doc_id.*")
+
+
+#: op3 as SQL, with policy v1.
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents
+), win AS (SELECT doc_id, i, array_to_string(list_slice(w, i + 1, i + 3), ' ') AS g FROM d, unnest(range(len(w) - 2)) AS r(i)),
+twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),
+cov AS (SELECT doc_id, count(DISTINCT p)::BIGINT AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, len(l) AS n_lines, coalesce(cov.n, 0) AS n_repeat_words,
+         length(t) - length(regexp_replace(t, '\p{Lu}', '', 'g')) AS upper_, length(t) - length(regexp_replace(t, '\p{L}', '', 'g')) AS letters
+  FROM d LEFT JOIN cov USING (doc_id)
+), f AS (
+  SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
+    + CASE WHEN n_symbols > 0.1::DOUBLE * n_words THEN 4 ELSE 0 END + CASE WHEN n_dup_lines > 0.5::DOUBLE * n_lines THEN 8 ELSE 0 END
+    + CASE WHEN n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 14 * n_words) THEN 16 ELSE 0 END
+    + CASE WHEN upper_ > 0.5::DOUBLE * letters THEN 32 ELSE 0 END)::BIGINT AS failures
+  FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & 3 <> 0 AS base_failed, failures = 0 AS kept, failures FROM f
+"""

@@ -18,7 +18,7 @@ from math import isqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weirflow.llm._common import cut
+from weirflow.llm._common import bind, cut
 
 #: Rows are numbered within this many hash buckets; only their counts are ever scanned in order.
 BUCKETS = 4096
@@ -41,9 +41,8 @@ def _div(x: Column, n: Column) -> Column:
 def _pass(x: Column, a: int, b: int, seed: int, sign: int) -> Column:
     """The network over x in 0..a*b-1: halves in turn get a keyed hash of the other added.
 
-    sign -1 undoes it. Every half is bound to a lambda variable, so it is computed once.
+    sign -1 undoes it.
     """
-    bind = lambda col, f: F.get(F.transform(F.array(col), f), F.lit(0))
     long = lambda n: F.lit(n).cast("long")
 
     def rounds(left: Column, right: Column, todo: list[int]) -> Column:

@@ -22,7 +22,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm._common import cut
+from weirflow.llm._common import checkpoint_path, cut
 
 MIN_BYTES = 1000
 CRLF = "\r\n"
@@ -34,8 +34,7 @@ def _digest(payload: Column) -> Column:
 
 def archive_path(spark: SparkSession) -> str:
     """A new folder in the shared checkpoint folder."""
-    cut(spark.range(0))
-    return f"{spark.sparkContext.getCheckpointDir()}/warc-{uuid.uuid4().hex}"
+    return f"{checkpoint_path(spark)}/warc-{uuid.uuid4().hex}"
 
 
 def _header(kind: Column) -> Column:
@@ -146,3 +145,17 @@ def op2_rows(pages: DataFrame, path: str | None = None) -> DataFrame:
         field(text, "WARC-Type").alias("record_type"),
         number("WARC-Refers-To").alias("refers_to"),
     )
+
+
+#: op2 as SQL.
+ORACLE = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest, coalesce(html, '') AS body FROM pages
+), g AS (
+  SELECT *, max(page_id) OVER (PARTITION BY body) AS first_id, payload_bytes >= 1000 AS big FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN big AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN big AND page_id <> first_id THEN first_id END AS refers_to
+FROM g
+"""
