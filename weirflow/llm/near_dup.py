@@ -8,11 +8,13 @@ band are candidates, and a banded alignment of their shingles decides: aligned s
 all shingles of the two must reach ``SIMILARITY``.
 
 Exact copies are classes from the start, and only classes are compared. Within a band every
-member is compared with the band's least member, never all with all. Where that leaves a
-band in several components, each member outside the least one's component meets every member
-of another component, except those that the triangle inequality of the Jaccard distance
-(an upper bound of the alignment) rules out by their measured distances from the least member.
-So no link between candidates is lost, and a group of near copies costs about its size.
+member is compared with the band's centre, the member whose bands are fullest, never all with
+all. Where that leaves a band in several components, members of different components still
+meet unless what is known from the centre rules a link out: two texts share at most what both
+share with the centre, and of the rest only shingles that some other text compared with this
+centre has too; and their Jaccard distances obey the triangle inequality. Both are bounds of
+the alignment, so no link between candidates is lost, and a group of near copies costs about
+its size.
 
 At SIMILARITY two documents share a band with probability over 0.999.
 
@@ -170,16 +172,19 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-        distance, link = [], []
-        for x, y, wx, wy in zip(a, b, _lists(batch.column("wa")), _lists(batch.column("wb")), strict=True):
+        shared, sizes_a, sizes_b, link, rest = [], [], [], [], []
+        for x, wx, wy in zip(a, _lists(batch.column("wa")), _lists(batch.column("wb")), strict=True):
             sx, sy = shingles(x, wx), labelled_shingles(wy)
             common, on = aligned(sx, sy)
             both = len(sx) + len(sy)
-            distance.append(1 - common / (both - common) if both else 0.0)
+            shared.append(common)
+            sizes_a.append(len(sx))
+            sizes_b.append(len(sy))
             link.append(both > 0 and on >= SIMILARITY * (both - on))
+            rest.append(np.setdiff1d(sy, sx, assume_unique=True).astype(np.int64))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("a"), batch.column("b"), pa.array(distance, pa.float64()), pa.array(link, pa.bool_())],
-            ["a", "b", "distance", "link"],
+            [pa.array(x, pa.int64()) for x in (a, b, shared, sizes_a, sizes_b)] + [pa.array(link, pa.bool_()), pa.array(rest, pa.list_(pa.int64()))],
+            ["a", "b", "shared", "size_a", "size_b", "link", "rest"],
         )
 
 
@@ -204,7 +209,7 @@ def _word_hashes(docs: DataFrame) -> DataFrame:
 
 
 def _compare(docs: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, distance, link) for pairs of nodes, by their texts."""
+    """For pairs of nodes (a, b), by their texts: shared shingles, sizes, whether they link, and b's ``rest``, which a lacks."""
     spark = docs.sparkSession
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = cut(texts.join(ends, "node").select("digest", "node", "rep"))
@@ -220,7 +225,7 @@ def _compare(docs: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
     )
     with _batches(spark):
         return cut(
-            joined.select("a", "b", "wa", "wb").mapInArrow(_verify, "a long, b long, distance double, link boolean")
+            joined.select("a", "b", "wa", "wb").mapInArrow(_verify, "a long, b long, shared long, size_a long, size_b long, link boolean, rest array<long>")
         )
 
 
@@ -234,37 +239,71 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     numbered, _ = number(distinct, ["digest"], ["digest"], "node")
     texts = cut(numbered)
     keys = texts.select("node", F.explode("bands").alias("key"))
-    shared = cut(
-        keys.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "first")
+    full = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    inside = cut(keys.join(full, "key"))
+    fullness = inside.groupBy("node").agg(F.sum("n").alias("fullness"))
+    centre = cut(
+        inside.select("key", "node").join(fullness, "node").groupBy("key").agg(F.max(F.struct("fullness", "node")).alias("c")).select("key", F.col("c.node").alias("centre"))
     )
-    members = cut(keys.join(shared, "key").where("node <> first"))
+    members = cut(inside.select("key", "node").join(centre, "key").where("node <> centre"))
     texts = texts.select("digest", "rep", "node")
-    tested = _compare(docs, texts, members.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
+    tested = _compare(docs, texts, members.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
     edges = tested.where("link").select("a", "b")
-
-    # bands that the first comparisons left in several components
-    label = components(edges)
-    named = members.join(tested.select(F.col("a").alias("first"), F.col("b").alias("node"), "distance"), ["first", "node"])
-    named = (
-        named.join(label, "node", "left")
-        .withColumn("label", F.coalesce("label", "node"))
-        .join(label.select(F.col("node").alias("first"), F.col("label").alias("main")), "first", "left")
-        .withColumn("stray", F.col("label") != F.coalesce("main", "first"))
-        .select("key", "node", "label", "distance", "stray")
-    )
-    named = cut(named)
-    several = cut(named.where("stray").select("key").distinct())
-    inside = named.join(several, "key", "left_semi")
-    s = inside.where("stray").select("key", F.col("node").alias("s"), F.col("label").alias("sl"), F.col("distance").alias("sd"))
-    m = inside.select("key", F.col("node").alias("m"), F.col("label").alias("ml"), F.col("distance").alias("md"), F.col("stray").alias("ms"))
-    slack = 1 - SIMILARITY + 1e-9
-    cross = s.join(m, (s["key"] == m["key"]) & (F.col("sl") != F.col("ml")) & (F.abs(F.col("sd") - F.col("md")) <= slack) & (~F.col("ms") | (F.col("s") < F.col("m"))))
-    more = cut(cross.select(F.least("s", "m").alias("a"), F.greatest("s", "m").alias("b")).distinct())
+    more = _open_pairs(members, tested, components(edges))
     if not more.isEmpty():
         edges = edges.union(_compare(docs, texts, more).where("link").select("a", "b"))
     return texts, edges
 
 
+def _open_pairs(members: DataFrame, tested: DataFrame, label: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one band and different components that the comparisons with its centre leave open."""
+    named = (
+        members.join(label, "node", "left")
+        .join(label.select(F.col("node").alias("centre"), F.col("label").alias("main")), "centre", "left")
+        .select("key", "centre", "node", F.coalesce("label", "node").alias("label"), F.coalesce("main", "centre").alias("main"))
+    )
+    stray = cut(named.where("label <> main"))
+    several = cut(stray.select("key").distinct())
+    named = cut(named.join(several, "key", "left_semi"))
+    # of what a text has and its centre lacks, the part that another text has too
+    compared = named.select("centre", "node").distinct()
+    facts = tested.select(F.col("a").alias("centre"), F.col("b").alias("node"), "shared", "size_a", "size_b", "rest").join(compared, ["centre", "node"])
+    lonely = (
+        facts.select("centre", "node", F.explode("rest").alias("shingle"))
+        .groupBy("centre", "shingle")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
+        .where("n = 1")
+        .groupBy("centre", "node")
+        .agg(F.count(F.lit(1)).alias("own"))
+    )
+    known = cut(
+        facts.select("centre", "node", "shared", "size_a", "size_b")
+        .join(lonely, ["centre", "node"], "left")
+        .select(
+            "centre", "node", "shared", F.col("size_b").alias("size"),
+            (F.col("size_b") - F.col("shared") - F.coalesce("own", F.lit(0).cast("long"))).alias("loose"),
+            (1 - F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))).alias("distance"),
+        )
+    )
+    part = SIMILARITY / (1 + SIMILARITY)  # of both sizes, that a link must align
+    rows = cut(named.join(known, ["centre", "node"]).drop("centre"))
+    least = rows.groupBy("key").agg(F.min("size").alias("least"))
+    # no partner in its band is small enough for what it can share
+    able = F.col("shared") + F.col("loose") + 1e-6 >= part * (F.col("size") + F.col("least"))
+    rows = cut(rows.join(least, "key").where(able).drop("least"))
+    s = rows.where("label <> main").select("key", *[F.col(c).alias(f"s_{c}") for c in ("node", "label", "shared", "size", "loose", "distance")])
+    m = rows.select("key", F.col("main"), *[F.col(c).alias(f"m_{c}") for c in ("node", "label", "shared", "size", "loose", "distance")])
+    most = F.least("s_shared", "m_shared") + F.least("s_loose", "m_loose")
+    open_ = (
+        (s["key"] == m["key"])
+        & (F.col("s_label") != F.col("m_label"))
+        & ((F.col("m_label") == F.col("main")) | (F.col("s_node") < F.col("m_node")))
+        & (most + 1e-6 >= part * (F.col("s_size") + F.col("m_size")))
+        & (F.abs(F.col("s_distance") - F.col("m_distance")) <= 1 - SIMILARITY + 1e-9)
+    )
+    return cut(s.join(m, open_).select(F.least("s_node", "m_node").alias("a"), F.greatest("s_node", "m_node").alias("b")).distinct())
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(digest, copy_of, class_id): for every distinct text the least id of its copies and of its group."""
     texts, edges = links(docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text")))
