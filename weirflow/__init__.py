@@ -1,0 +1 @@
+"""Closed, typed batch operations over Spark DataFrames."""
