@@ -109,6 +109,8 @@ def extract(pages: DataFrame, item_selector: str, fields: Mapping[str, str] | No
     if not item_selector or not all(isinstance(k, str) and isinstance(v, str) and k.isidentifier() for k, v in fields.items()):
         raise ContractError("items need a selector, and fields map names to selectors")
     names = list(fields) or ["text"]
+    if {id_col, "item"} & set(names):
+        raise ContractError("a field is named as another column of the result")
 
     def run(batches):
         import pandas as pd
@@ -116,15 +118,15 @@ def extract(pages: DataFrame, item_selector: str, fields: Mapping[str, str] | No
         for pdf in batches:
             rows = [
                 (page, k, *item.values())
-                for page, source in zip(pdf["id"], pdf["html"], strict=True)
+                for page, source in zip(pdf["_page"], pdf["_html"], strict=True)
                 for k, item in enumerate(records(source or "", item_selector, fields))
             ]
-            yield pd.DataFrame(rows, columns=["id", "item", *names])
+            yield pd.DataFrame(rows, columns=["_page", "item", *names])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, item int, " + ", ".join(f"`{n}` string" for n in names)
-    out = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).mapInPandas(run, schema)
-    return out.withColumnRenamed("id", id_col)
+    schema = f"_page {kind}, item int, " + ", ".join(f"`{n}` string" for n in names)
+    out = pages.select(F.col(id_col).alias("_page"), F.col(html_col).alias("_html")).mapInPandas(run, schema)
+    return out.withColumnRenamed("_page", id_col)
 
 
 def to_json(rows: list[dict]) -> list[str]:
