@@ -5,11 +5,12 @@ character away (substituted, added or removed). Lines are compared without the w
 around them, and only from ``MIN_CHARS`` characters on; shorter ones always stay.
 
 Distinct lines are found first. Two lines within one edit share their first or their last
-half, so only lines that share a hashed half with another emit their deletion neighbourhood:
-every variant with one character removed, under two kinds of hashed key. Lines that share a
-variant and the place of removal differ by a substitution; a line that equals another's
-variant differs by a removal. Per key only the earliest line is kept, never pairs of the
-group, and the edit distance of each line and its earliest partner is verified on the texts.
+half, and of eight segments all but the one with the edit, so only lines that share such
+hashed parts with another emit their deletion neighbourhood: the variants with one character
+of that segment removed, under two kinds of hashed key. Lines that share a variant and the
+place of removal differ by a substitution; a line that equals another's variant differs by a
+removal. Per key only the earliest line is kept, never pairs of the group, and the edit
+distance of each line and its earliest partner is verified on the texts.
 
 Defined results: null text has no lines; null ids come last; rows equal in id and text are one
 document and get equal results; an empty table gives an empty result; other columns are kept
@@ -21,68 +22,89 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm._common import cut, small, text_key
+from weirflow.llm._common import bind, cut, small, text_key
 
 MIN_CHARS = 20
 #: Lines to fetch are broadcast below this many rows of some 40 bytes; beyond it they are joined.
 BROADCAST_LINES = 200_000
-EDGE = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
+#: Lines whose variants one task makes.
+LINES_PER_TASK = 20_000
+SEGMENTS = 8
+EDGE = " \t\n\x0b\x0c\r"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc_id, key, ln, line, h1, h2) of every line that takes part."""
-    each = docs.select(
-        F.col("doc_id").alias("doc_id"), text_key(F.col("text")).alias("key"),
-        F.posexplode(F.split(F.col("text"), "\n")).alias("ln", "raw"),
-    ).select("doc_id", "key", "ln", F.regexp_replace("raw", EDGE, "").alias("line"))
+    # the key is made first: beside a generator it would be made, and the text carried, for every line
+    keyed = docs.select(F.col("doc_id").alias("doc_id"), text_key(F.col("text")).alias("key"), F.split(F.col("text"), "\n").alias("raw"))
+    each = keyed.select("doc_id", "key", F.posexplode("raw").alias("ln", "line")).withColumn("line", F.btrim("line", F.lit(EDGE)))
     return each.where(F.length("line") >= MIN_CHARS).select(
         "*", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2")
     )
 
 
-def _halves(line: Column) -> Column:
+def _halves(line: Column) -> dict[str, Column]:
     """Keys of which two lines within one edit share one: both halves, for its own and the next shorter length."""
     n = F.length(line)
-    ends = lambda h: (F.xxhash64(F.substring(line, 1, h), h, F.lit("a")), F.xxhash64(F.substring(line, n - h + 1, h), h, F.lit("z")))
     own, less = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
-    return F.array_distinct(F.array(*ends(own), *ends(less)))
+    head = lambda h: F.xxhash64(F.substring(line, F.lit(1), h), h, F.lit("a"))
+    tail = lambda h: F.xxhash64(F.substring(line, n - h + 1, h), h, F.lit("z"))
+    return {"a1": head(own), "z1": tail(own), "a2": head(less), "z2": tail(less)}
 
 
-def earliest(docs: DataFrame) -> DataFrame:
-    """(h1, h2, n, doc_id, key, ln, fuzzy) of each distinct line: its first place, and whether an
-    earlier line is one edit away."""
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "ln")
+def _segments(line: Column, size: Column) -> Column:
+    """For a line read as one of ``size`` characters: per segment, keys of all that stands
+    around it, and the places (first, last) inside it. Two lines within one edit share the
+    keys of the segment with the edit, for the size of the shorter."""
+    border = lambda j: F.floor(j * size / SEGMENTS).cast("int")
+
+    def one(j: Column) -> Column:
+        head, tail = border(j), size - border(j + 1)
+        before, after = F.substring(line, F.lit(1), head), F.substring(line, F.length(line) - tail + 1, tail)
+        return F.struct(
+            F.xxhash64(before, after, j, size).alias("k1"), F.xxhash64(size, j, after, before).alias("k2"),
+            (head + 1).alias("first"), (F.length(line) - tail).alias("last"),
+        )
+
+    return F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), one)
+
+
+def repeated(docs: DataFrame) -> DataFrame:
+    """(h1, h2, fuzzy) of the distinct lines that occur more than once or, fuzzy, have an earlier
+    line one edit away."""
     all_lines = _lines(docs)
-    firsts = cut(
-        all_lines.groupBy("h1", "h2")
-        .agg(F.min(place).alias("p"), F.count(F.lit(1)).alias("n"), F.first(_halves(F.col("line"))).alias("halves"))
-    )
-    halves = firsts.select("h1", "h2", F.explode("halves").alias("half"))
+    # only longs are aggregated, so this stays a hash aggregate; a line's halves are alike wherever it occurs
+    distinct = cut(all_lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(k) for k, c in _halves(F.col("line")).items()]))
+    halves = distinct.select("h1", "h2", F.explode(F.array_distinct(F.array("a1", "z1", "a2", "z2"))).alias("half"))
     shared = cut(halves.groupBy("half").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select("half"))
-    near = halves.join(shared, "half", "left_semi").select("h1", "h2").distinct()
-    # the sort deals places out by range, so these ids ascend with the place
-    ranked = cut(firsts.join(near, ["h1", "h2"], "left_semi").orderBy("p").select(F.monotonically_increasing_id().alias("rank"), "h1", "h2", "p"))
-    rows = ranked.count()
+    near = cut(halves.join(shared, "half", "left_semi").select("h1", "h2").distinct())
+    rows = near.count()
+    many = distinct.where("n > 1").select("h1", "h2")
     if rows == 0:
-        return firsts.select("h1", "h2", "n", "p.doc_id", "p.key", "p.ln", F.lit(False).alias("fuzzy"))
-    wanted = small(ranked.select("rank", F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("p.doc_id").alias("d"), F.col("p.key").alias("k"), F.col("p.ln").alias("l")), rows, BROADCAST_LINES)
-    same = (
-        (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & F.col("doc_id").eqNullSafe(F.col("d"))
-        & (F.col("key") == F.col("k")) & (F.col("ln") == F.col("l"))
-    )
-    texts = cut(all_lines.join(wanted, same).select("rank", "line").dropDuplicates(["rank"]))
+        return many.withColumn("fuzzy", F.lit(False))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "ln", "line")
+    first = all_lines.join(small(near, rows, BROADCAST_LINES), ["h1", "h2"]).groupBy("h1", "h2").agg(F.min(place).alias("p"))
+    # the sort deals places out by range, so these ids ascend with the place
+    ranked = cut(first.orderBy("p").select(F.monotonically_increasing_id().alias("rank"), "h1", "h2", F.col("p.line").alias("line")))
+    tasks = max(rows // LINES_PER_TASK, docs.sparkSession.sparkContext.defaultParallelism)
+    texts = cut(ranked.select("rank", "line").repartition(tasks, "rank"))
 
     line = F.col("line")
-    without = lambda i: F.concat(F.substring(line, F.lit(1), i - 1), F.substring(line, i + 1, F.length(line)))
+    size = F.length(line)
+    parts = texts.select("rank", F.explode(F.concat(_segments(line, size), _segments(line, size - 1))).alias("part")).select("rank", "part.*")
+    several = cut(parts.groupBy("k1", "k2").agg(F.min("rank").alias("lo"), F.max("rank").alias("hi")).where("lo < hi").select("k1", "k2"))
+    ranges = cut(parts.join(several, ["k1", "k2"]).select("rank", "first", "last").distinct())
+    open_lines = texts.join(ranges.groupBy("rank").agg(F.collect_list(F.struct("first", "last")).alias("ranges")), "rank").repartition(tasks, "rank")
+
+    without = lambda i: F.concat(F.substring(line, F.lit(1), i - 1), F.substring(line, i + 1, size))
     hashed = lambda v, kind, at: F.struct(F.xxhash64(v, at).alias("k1"), F.xxhash64(at, v).alias("k2"), F.lit(kind).alias("kind"))
-    places = F.sequence(F.lit(1), F.length(line))
+    places = F.array_distinct(F.flatten(F.transform("ranges", lambda r: F.sequence(r.first, r["last"]))))
     # kind 0: variant and place; 1: the line itself; 2: variant anywhere
     variants = F.concat(
-        F.transform(places, lambda i: hashed(without(i), 0, i)),
         F.array(hashed(line, 1, F.lit(0))),
-        F.array_distinct(F.transform(places, lambda i: hashed(without(i), 2, F.lit(0)))),
+        F.flatten(F.transform(places, lambda i: bind(without(i), lambda v: F.array(hashed(v, 0, i), hashed(v, 2, F.lit(0)))))),
     )
-    emitted = texts.select("rank", F.explode(variants).alias("v")).select("rank", "v.k1", "v.k2", "v.kind")
+    emitted = open_lines.select("rank", F.explode(variants).alias("v")).select("rank", "v.k1", "v.k2", "v.kind")
     of = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("rank")))
     groups = cut(
         emitted.groupBy("k1", "k2").agg(of(0).alias("m0"), of(1).alias("m1"), of(2).alias("m2"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
@@ -93,20 +115,21 @@ def earliest(docs: DataFrame) -> DataFrame:
     )
     left, right = texts.select("rank", "line"), texts.select(F.col("rank").alias("other"), F.col("line").alias("said"))
     verified = pairs.join(left, "rank").join(right, "other").where(F.levenshtein("line", "said", 1) >= 0)
-    fuzzy = cut(ranked.join(verified.select("rank").distinct(), "rank", "left_semi").select("h1", "h2", F.lit(True).alias("fuzzy")))
-    return firsts.join(fuzzy, ["h1", "h2"], "left").select(
-        "h1", "h2", "n", "p.doc_id", "p.key", "p.ln", F.coalesce("fuzzy", F.lit(False)).alias("fuzzy")
-    )
+    fuzzy = cut(ranked.join(verified.select("rank").distinct(), "rank", "left_semi").select("h1", "h2"))
+    told = many.withColumn("fuzzy", F.lit(False)).union(fuzzy.withColumn("fuzzy", F.lit(True)))
+    return told.groupBy("h1", "h2").agg(F.max("fuzzy").alias("fuzzy"))
 
 
 def dropped(docs: DataFrame) -> DataFrame:
     """(doc_id, key, dropped): for documents that lose lines, their numbers from 0, ascending."""
     docs = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
-    told = cut(
-        earliest(docs).where("n > 1 OR fuzzy").select("h1", "h2", F.col("doc_id").alias("d"), F.col("key").alias("k"), F.col("ln").alias("l"), "fuzzy")
-    )
-    first = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")) & (F.col("ln") == F.col("l"))
-    gone = _lines(docs).drop("line").join(told, ["h1", "h2"]).where(F.col("fuzzy") | ~first)
+    told = cut(repeated(docs))
+    seen = cut(_lines(docs).drop("line").join(told, ["h1", "h2"]))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "ln")
+    first = cut(seen.where("NOT fuzzy").groupBy("h1", "h2").agg(F.min(place).alias("p")))
+    # a fuzzy line goes everywhere, another everywhere but at its first place
+    placed = seen.where("NOT fuzzy").withColumn("p", place).join(first.withColumnRenamed("p", "least"), ["h1", "h2"]).where("p <> least")
+    gone = placed.select("doc_id", "key", "ln").union(seen.where("fuzzy").select("doc_id", "key", "ln"))
     return cut(gone.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("ln")).alias("dropped")))
 
 
