@@ -328,9 +328,24 @@ def op1_rows(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each group, with its own columns only; documents without a text stay."""
-    found = cut(classes(docs).where(F.col("copy_of").eqNullSafe(F.col("class_id"))).select(F.col("digest").alias("g"), F.col("class_id").alias("c")))
+    """One document of each group, with its own columns only; documents without a text stay.
+
+    What goes is told to the texts, not what stays: it is the smaller side. Only rows that
+    repeat id and text are brought together, if there are any.
+    """
+    found = classes(docs)
+    key = ["digest", "doc_id"]
+    light = cut(docs.where("text IS NOT NULL").select(F.unhex(F.md5("text")).alias("digest"), F.col("doc_id").alias("doc_id")))
+    gone = cut(light.join(found, "digest").where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(*key).distinct())
+    twice = cut(light.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key))
+
+    def by_key(df: DataFrame, other: DataFrame, how: str) -> DataFrame:
+        side = small(other.withColumnsRenamed({"digest": "g", "doc_id": "d"}), other.count(), BROADCAST_DIGESTS)
+        return df.join(side, (F.col("digest") == F.col("g")) & F.col("doc_id").eqNullSafe(F.col("d")), how)
+
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     wrapped = docs.select(row.alias("row"), F.col("doc_id").alias("doc_id"), F.unhex(F.md5("text")).alias("digest"))
-    first = wrapped.join(found, (F.col("digest") == F.col("g")) & F.col("doc_id").eqNullSafe(F.col("c")), "left_semi")
-    return first.dropDuplicates(["digest"]).select("row.*").unionByName(docs.where("text IS NULL"))
+    kept = by_key(wrapped, gone, "left_anti")
+    if not twice.isEmpty():
+        kept = by_key(kept, twice, "left_anti").union(by_key(kept, twice, "left_semi").dropDuplicates(key))
+    return kept.select("row.*")
