@@ -1 +1,8 @@
 """Closed, typed batch operations over Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with their code, so executors need no installation.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
