@@ -74,9 +74,9 @@ def term_counts(docs: DataFrame, terms: DataFrame, rows: int) -> DataFrame:
 
 def postings(docs: DataFrame, terms: DataFrame, rows: int) -> DataFrame:
     """The positional index for ``terms``: (doc_id, key, term, pos)."""
-    stream = docs.select(
-        "doc_id", text_key(F.col("text")).alias("key"), F.posexplode(tokens(F.col("text"))).alias("pos", "word")
-    )
+    # the key is made first: beside a generator it would be made, and the text carried, for every word
+    keyed = docs.select("doc_id", text_key(F.col("text")).alias("key"), tokens(F.col("text")).alias("t"))
+    stream = keyed.select("doc_id", "key", F.posexplode("t").alias("pos", "word"))
     return _matching(stream, terms, rows)
 
 
@@ -138,17 +138,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, slop: int
             lambda ok: ok,
         )
 
-    found = F.filter(
-        F.transform(
-            "c",
-            lambda x: F.struct(
-                x.start.alias("start"), span(x).alias("length"), exact(x).alias("exact"), x["items"].alias("items"),
-                (near(x) if slop else exact(x)).alias("hit"),
-            ),
+    found = F.transform(
+        F.filter("c", near if slop else exact),
+        lambda x: F.struct(
+            x.start.alias("start"), span(x).alias("length"), (exact(x) if slop else F.lit(True)).alias("exact"), x["items"].alias("items")
         ),
-        lambda x: x.hit,
     )
-    return both.select("doc_id", "key", F.size(t).alias("n"), found.alias("found")).where(F.size("found") > 0)
+    # frozen, or the filter would look for the matches a second time
+    decided = cut(both.select("doc_id", "key", F.size(t).alias("n"), found.alias("found")))
+    return decided.where(F.size("found") > 0)
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
