@@ -51,6 +51,16 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def keep_where(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter on computed columns without computing them again.
+
+    Spark pushes a filter below the projection that makes its columns, and writes each
+    column's expression out wherever the condition uses it. It does not where a column of
+    that projection is not deterministic, so the filter also asks for a row id.
+    """
+    return df.withColumn("_at", F.monotonically_increasing_id()).where(condition & (F.col("_at") >= 0)).drop("_at")
+
+
 def text_key(text: Column) -> Column:
     """With doc_id, tells rows apart that share an id but not a text."""
     return F.xxhash64(text)

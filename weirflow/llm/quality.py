@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm._common import GAP, bind, words
+from weirflow.llm._common import GAP, bind, keep_where, words
 
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -175,7 +175,7 @@ def keep(docs: DataFrame, policy: str = "v1") -> DataFrame:
     """The documents that the policy keeps, with their own columns only."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     wrapped = docs.select(row.alias("row"), F.col("text"))
-    return ledger(wrapped, "row", "text").where(verdict(F.col("failures"), policy)).select("doc_id.*")
+    return keep_where(ledger(wrapped, "row", "text"), verdict(F.col("failures"), policy)).select("doc_id.*")
 
 
 #: op3 as SQL, with policy v1.
