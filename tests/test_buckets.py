@@ -1,3 +1,5 @@
+import struct
+
 import pytest
 
 from weirflow.operators import replay
@@ -21,7 +23,7 @@ def test_binary_round_trip(spark):
     for bad, count in ((payload[:10], 8), (payload[:-1], 8), (payload, 16), (b"X" + payload[1:], 8), (payload[:26] + payload[34:42] + payload[26:34] + payload[42:], 8)):
         with pytest.raises(RecordError):
             buckets.parse(bad, count)
-    wrong = spark.createDataFrame([(buckets.HEADER.pack(buckets.MAGIC, 1, 8, (buckets.parse(payload, 8)[0] + 1) % 8, 1) + payload[26:34],)], "payload binary")
+    wrong = spark.createDataFrame([(struct.pack(buckets.HEADER, buckets.MAGIC, 1, 8, (buckets.parse(payload, 8)[0] + 1) % 8, 1) + payload[26:34],)], "payload binary")
     with pytest.raises(Exception, match="another bucket"):
         buckets.decode(wrong, 8).collect()
 

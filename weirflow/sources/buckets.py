@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from weirflow.operators.replay import RecordError, State, identity_bucket
 
 #: The binary format: magic, version, header layout (magic, version, buckets, bucket, count) and limit. Fixed values.
-MAGIC, VERSION, HEADER, MOST = b"PBEBKT01", 1, struct.Struct("<8sHIIQ"), 1 << 20
+MAGIC, VERSION, HEADER, MOST = b"PBEBKT01", 1, "<8sHIIQ", 1 << 20
+HEADER_SIZE = struct.calcsize(HEADER)
 
 
 def encode(identities: DataFrame, bucket_count: int) -> DataFrame:
@@ -26,7 +27,7 @@ def encode(identities: DataFrame, bucket_count: int) -> DataFrame:
         if len(ids) > MOST:
             raise RecordError("a bucket holds more identities than its format allows")
         bucket = int(pdf["bucket"].iloc[0])
-        payload = HEADER.pack(MAGIC, VERSION, bucket_count, bucket, len(ids)) + struct.pack(f"<{len(ids)}Q", *ids)
+        payload = struct.pack(HEADER, MAGIC, VERSION, bucket_count, bucket, len(ids)) + struct.pack(f"<{len(ids)}Q", *ids)
         return pd.DataFrame({"bucket": [bucket], "payload": [payload]})
 
     return identities.groupBy("bucket").applyInPandas(one, "bucket int, payload binary")
@@ -34,14 +35,14 @@ def encode(identities: DataFrame, bucket_count: int) -> DataFrame:
 
 def parse(payload: bytes, bucket_count: int) -> tuple[int, list[int]]:
     """(bucket, identities) of one payload; anything out of place raises."""
-    if len(payload) < HEADER.size:
+    if len(payload) < HEADER_SIZE:
         raise RecordError("bucket payload is truncated")
-    magic, version, buckets, bucket, count = HEADER.unpack_from(payload)
+    magic, version, buckets, bucket, count = struct.unpack_from(HEADER, payload)
     if (magic, version, buckets) != (MAGIC, VERSION, bucket_count) or bucket >= buckets or count > MOST:
         raise RecordError("bucket payload has another header")
-    if len(payload) != HEADER.size + 8 * count:
+    if len(payload) != HEADER_SIZE + 8 * count:
         raise RecordError("bucket payload has another length")
-    ids = list(struct.unpack_from(f"<{count}Q", payload, HEADER.size))
+    ids = list(struct.unpack_from(f"<{count}Q", payload, HEADER_SIZE))
     if any(a >= b for a, b in zip(ids, ids[1:], strict=False)) or (ids and ids[0] <= 0):
         raise RecordError("bucket identities must ascend from 1")
     return bucket, ids
