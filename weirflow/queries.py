@@ -31,6 +31,16 @@ def read(s: SparkSession, d: str, name: str) -> DataFrame:
     return s.read.parquet(f"{d}/{name}.parquet")
 
 
+def texts(s: SparkSession, d: str) -> DataFrame:
+    """The documents over at least as many tasks as there are cores; a small file is one split.
+
+    Only the scan's plan is looked at, and a table of many splits stays as it is.
+    """
+    docs = read(s, d, "documents")
+    cores = s.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def money(c: str) -> F.Column:
     """Two-decimal doubles as decimals, whose sums do not depend on order."""
     return F.col(c).cast("decimal(18,2)")
@@ -280,7 +290,7 @@ query(
 t AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM t GROUP BY term), n AS (SELECT count(*)::DOUBLE AS n FROM documents),
 r AS (SELECT doc_id, term, tf, tf * (ln((1 + n) / (1 + df)) + 1) AS raw FROM t JOIN f USING (term), n)
 SELECT doc_id, term, tf, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)), 6) AS weight FROM r""",
-)(lambda s, d: text_features.tfidf(read(s, d, "documents"), "doc_id").withColumn("weight", F.round("weight", 6)))
+)(lambda s, d: text_features.tfidf(texts(s, d), "doc_id").withColumn("weight", F.round("weight", 6)))
 
 query(
     "fake_embedding",
@@ -288,7 +298,7 @@ query(
 n AS (SELECT doc_id, k, count(*)::DOUBLE AS n FROM c GROUP BY ALL)
 SELECT doc_id, k::INT AS slot, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS value FROM n""",
 )(
-    lambda s, d: text_features.embedding(read(s, d, "documents")).select("doc_id", F.posexplode("embedding").alias("slot", "value")).where("value > 0").withColumn("value", F.round("value", 6))
+    lambda s, d: text_features.embedding(texts(s, d)).select("doc_id", F.posexplode("embedding").alias("slot", "value")).where("value > 0").withColumn("value", F.round("value", 6))
 )
 
 
@@ -319,9 +329,9 @@ p AS (SELECT doc_id, ' ' || word || ' ' AS p FROM w), g AS (
 t AS (SELECT doc_id, gram, (1 + ln(count(*))) * any_value(idf) AS x, any_value(coefficient) AS k FROM g JOIN m USING (gram) GROUP BY doc_id, gram),
 s AS (SELECT doc_id, sum(x * k) / sqrt(sum(x * x)) AS z FROM t GROUP BY doc_id)
 SELECT doc_id, round(1 / (1 + exp(-(0.1 + coalesce(z, 0)))), 6) AS score FROM documents LEFT JOIN s USING (doc_id)""",
-)(lambda s, d: text_features.char_wb_score(read(s, d, "documents"), MODEL, 0.1, "doc_id").withColumn("score", F.round("score", 6)))
+)(lambda s, d: text_features.char_wb_score(texts(s, d), MODEL, 0.1, "doc_id").withColumn("score", F.round("score", 6)))
 
-query("hashing_vectorizer")(lambda s, d: text_features.hashing_vectorizer(read(s, d, "documents")).select("doc_id", F.col("features").cast("string").alias("features")))
+query("hashing_vectorizer")(lambda s, d: text_features.hashing_vectorizer(texts(s, d)).select("doc_id", F.col("features").cast("string").alias("features")))
 
 # models
 
