@@ -47,8 +47,6 @@ BROADCAST_DIGESTS = 100_000
 #: Rows that a Python worker holds at once.
 BATCH = 256
 
-_MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
-
 
 def _mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: every input bit reaches every output bit."""
@@ -287,10 +285,10 @@ def _open_pairs(members: DataFrame, tested: DataFrame, label: DataFrame) -> Data
     )
     part = SIMILARITY / (1 + SIMILARITY)  # of both sizes, that a link must align
     rows = cut(named.join(known, ["centre", "node"]).drop("centre"))
-    least = rows.groupBy("key").agg(F.min("size").alias("least"))
+    least = cut(rows.groupBy("key").agg(F.min("size").alias("least")))
     # no partner in its band is small enough for what it can share
     able = F.col("shared") + F.col("loose") + 1e-6 >= part * (F.col("size") + F.col("least"))
-    rows = cut(rows.join(least, "key").where(able).drop("least"))
+    rows = cut(rows.join(least, "key").where(able).drop("least"))  # cut, so that adaptive execution can split a full band
     s = rows.where("label <> main").select("key", *[F.col(c).alias(f"s_{c}") for c in ("node", "label", "shared", "size", "loose", "distance")])
     m = rows.select("key", F.col("main"), *[F.col(c).alias(f"m_{c}") for c in ("node", "label", "shared", "size", "loose", "distance")])
     most = F.least("s_shared", "m_shared") + F.least("s_loose", "m_loose")
@@ -336,7 +334,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     found = classes(docs)
     key = ["digest", "doc_id"]
     light = cut(docs.where("text IS NOT NULL").select(F.unhex(F.md5("text")).alias("digest"), F.col("doc_id").alias("doc_id")))
-    gone = cut(light.join(found, "digest").where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(*key).distinct())
+    gone = cut(light.join(found, "digest").where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(*key))
     twice = cut(light.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key))
 
     def by_key(df: DataFrame, other: DataFrame, how: str) -> DataFrame:
