@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm._common import BROADCAST_ROWS, cut, small, text_key, words
+from weirflow.llm._common import cut, small, text_key, words
 
 WIDTH = 8
 #: Ids of documents are broadcast below this many rows of two longs; beyond it they are joined.
