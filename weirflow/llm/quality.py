@@ -114,7 +114,11 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", at: Thresholds = Thresholds()) -> DataFrame:
-    """Measurements and the ``failures`` mask of all rules, one row per document."""
+    """Measurements and the ``failures`` mask of all rules, one row per document.
+
+    Store it, or filter it with ``keep_where``: a plain filter would be pushed below the
+    measurements and repeat them for every use.
+    """
     n = F.col("n_words")
     fails = {
         "few_words": n < at.min_words,
