@@ -82,3 +82,11 @@ def test_pairs_within_one_edit(spark, a, b):
 def test_empty_table(no_docs):
     assert line_dedup.op9_rows(no_docs).count() == 0
     assert line_dedup.dedup(no_docs).count() == 0
+
+
+def test_short_lines_lose_their_exact_copies(spark):
+    rows = [(1, "Les.\nAnd ornd.\n\n  "), (2, " Les.\nLet.\n"), (3, "x" * 30 + "\nAnd ornd.\nLes.\nLes."), (4, "x" * 29)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.dropped for r in line_dedup.op9_rows(df, min_chars=1).collect()} == {1: "", 2: "0", 3: "1,2,3", 4: "0"}
+    out = {r.doc_id: r.text for r in line_dedup.dedup(df, min_chars=1).collect()}
+    assert out[1] == rows[0][1] and out[2] == "Let.\n" and out[3] == "x" * 30

@@ -2,7 +2,9 @@
 
 A line is dropped if an earlier line, in order of doc_id and line number, equals it or is one
 character away (substituted, added or removed). Lines are compared without the whitespace
-around them, and only from ``MIN_CHARS`` characters on; shorter ones always stay.
+around them, and only from ``min_chars`` characters on; shorter ones always stay. With
+``min_chars`` of 1 every line that is not blank takes part. One edit makes another line of a
+short one, so below ``MIN_CHARS`` only exact copies are dropped.
 
 Distinct lines are found first. Two lines within one edit share their first or their last
 half, and of eight segments all but the one with the edit, so only lines that share such
@@ -33,12 +35,12 @@ SEGMENTS = 8
 EDGE = " \t\n\x0b\x0c\r"
 
 
-def _lines(docs: DataFrame) -> DataFrame:
+def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """(doc_id, key, ln, line, h1, h2) of every line that takes part."""
     # the key is made first: beside a generator it would be made, and the text carried, for every line
     keyed = docs.select(F.col("doc_id").alias("doc_id"), text_key(F.col("text")).alias("key"), F.split(F.col("text"), "\n").alias("raw"))
     each = keyed.select("doc_id", "key", F.posexplode("raw").alias("ln", "line")).withColumn("line", F.btrim("line", F.lit(EDGE)))
-    return each.where(F.length("line") >= MIN_CHARS).select(
+    return each.where(F.length("line") >= min_chars).select(
         "*", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2")
     )
 
@@ -69,13 +71,15 @@ def _segments(line: Column, size: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), one)
 
 
-def repeated(docs: DataFrame) -> DataFrame:
+def repeated(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(h1, h2, fuzzy) of the distinct lines that occur more than once or, fuzzy, have an earlier
     line one edit away."""
-    all_lines = _lines(docs)
+    all_lines = _lines(docs, min_chars)
+    long = F.length("line") >= MIN_CHARS
+    half_of = {k: c if min_chars >= MIN_CHARS else F.when(long, c) for k, c in _halves(F.col("line")).items()}
     # only longs are aggregated, so this stays a hash aggregate; a line's halves are alike wherever it occurs
-    distinct = cut(all_lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(k) for k, c in _halves(F.col("line")).items()]))
-    halves = distinct.select("h1", "h2", F.explode(F.array_distinct(F.array("a1", "z1", "a2", "z2"))).alias("half"))
+    distinct = cut(all_lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(k) for k, c in half_of.items()]))
+    halves = distinct.select("h1", "h2", F.explode(F.array_distinct(F.array("a1", "z1", "a2", "z2"))).alias("half")).where("half IS NOT NULL")
     shared = cut(halves.groupBy("half").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select("half"))
     near = cut(halves.join(shared, "half", "left_semi").select("h1", "h2").distinct())
     rows = near.count()
@@ -120,11 +124,11 @@ def repeated(docs: DataFrame) -> DataFrame:
     return told.groupBy("h1", "h2").agg(F.max("fuzzy").alias("fuzzy"))
 
 
-def dropped(docs: DataFrame) -> DataFrame:
+def dropped(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, key, dropped): for documents that lose lines, their numbers from 0, ascending."""
     docs = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
-    told = cut(repeated(docs))
-    seen = cut(_lines(docs).drop("line").join(told, ["h1", "h2"]))
+    told = cut(repeated(docs, min_chars))
+    seen = cut(_lines(docs, min_chars).drop("line").join(told, ["h1", "h2"]))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "ln")
     first = cut(seen.where("NOT fuzzy").groupBy("h1", "h2").agg(F.min(place).alias("p")))
     # a fuzzy line goes everywhere, another everywhere but at its first place
@@ -133,28 +137,28 @@ def dropped(docs: DataFrame) -> DataFrame:
     return cut(gone.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("ln")).alias("dropped")))
 
 
-def _with_dropped(docs: DataFrame, *columns: Column) -> DataFrame:
-    lost = dropped(docs).withColumnsRenamed({"doc_id": "d", "key": "k"})
+def _with_dropped(docs: DataFrame, min_chars: int, *columns: Column) -> DataFrame:
+    lost = dropped(docs, min_chars).withColumnsRenamed({"doc_id": "d", "key": "k"})
     light = docs.select(F.col("doc_id").alias("doc_id"), text_key(F.col("text")).alias("key"), *columns)
     return light.join(lost, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
 
 
-def op9_rows(docs: DataFrame) -> DataFrame:
+def op9_rows(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, n_lines, n_dropped, dropped (line numbers, comma-joined); one row per document."""
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split(F.col("text"), "\n"))).cast("long")
     lost = F.coalesce("dropped", F.array().cast("array<int>"))
-    return _with_dropped(docs, n.alias("n_lines")).select(
+    return _with_dropped(docs, min_chars, n.alias("n_lines")).select(
         "doc_id", "n_lines", F.size(lost).cast("long").alias("n_dropped"), F.array_join(lost.cast("array<string>"), ",").alias("dropped")
     )
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """The documents without their dropped lines, with their own columns."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     kept = F.array_join(
         F.filter(F.split(F.col("row.text"), "\n"), lambda x, i: ~F.array_contains(F.coalesce("dropped", F.array().cast("array<int>")), i)), "\n"
     )
-    return _with_dropped(docs, row.alias("row")).withColumn("row", F.col("row").withField("text", kept)).select("row.*")
+    return _with_dropped(docs, min_chars, row.alias("row")).withColumn("row", F.col("row").withField("text", kept)).select("row.*")
 
 
 #: op9 as SQL, by comparing all distinct lines of close lengths that share a half.
@@ -176,3 +180,6 @@ SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10)
        coalesce(n_dropped, 0) AS n_dropped, coalesce(dropped, '') AS dropped
 FROM documents LEFT JOIN g USING (doc_id)
 """
+
+#: The same with every line that is not blank; lines under 20 characters only as exact copies.
+ORACLE_ALL = ORACLE.replace("WHERE length(line) >= 20)", "WHERE line <> '')").replace("AS h FROM f)", "AS h FROM f WHERE length(line) >= 20)")
