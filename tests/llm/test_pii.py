@@ -72,3 +72,22 @@ def test_base_spans_stay_among_all(docs):
 
 def test_empty_table(no_docs):
     assert pii.op7_rows(no_docs).count() == 0
+
+
+def test_chains_of_patterns_have_no_round_limit(spark):
+    hops = 8
+    # each key holds the values of the one before, often, and its own, once
+    rows = [("k0=", f"seed{i}", "secret", 1000) for i in range(6)] + [("k0=", f"v0-{i}", None, 1) for i in range(6)]
+    for k in range(1, hops):
+        rows += [(f"k{k}=", f"v{k - 1}-{i}", None, 1000) for i in range(6)] + [(f"k{k}=", f"v{k}-{i}", None, 1) for i in range(6)]
+    tokens = spark.createDataFrame(rows, "pattern string, value string, kind string, n int").selectExpr("pattern", "value", "kind", "explode(sequence(1, n)) AS i")
+    assert {r.pattern for r in pii.learn(tokens).collect()} == {f"k{k}=" for k in range(hops)}
+
+
+def test_risen_trust_accepts_later_patterns(spark):
+    # no pattern is accepted in the second round, but trust rises: b= is accepted later, by a higher confidence of c=
+    rows = [("a=", f"s{i}", "secret", 92) for i in range(6)] + [("a=", f"u{i}", None, 8) for i in range(6)]
+    rows += [("c=", f"s{i}", "secret", 91) for i in range(6)] + [("c=", f"u{i}", None, 5) for i in range(6)] + [("c=", f"w{i}", None, 4) for i in range(6)]
+    rows += [("b=", f"w{i}", None, 49) for i in range(6)] + [("b=", f"x{i}", None, 1) for i in range(6)]
+    tokens = spark.createDataFrame(rows, "pattern string, value string, kind string, n int").selectExpr("pattern", "value", "kind", "explode(sequence(1, n)) AS i")
+    assert {r.pattern for r in pii.learn(tokens).collect()} == {"a=", "b=", "c="}

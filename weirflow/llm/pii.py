@@ -5,8 +5,9 @@ hexadecimal tokens are seeds of the kind ``secret``. All other tokens with a dig
 candidates. What stands before a seed or candidate is its lexical pattern. Patterns and token
 values form a weighted graph: a pattern's confidence for a kind is the share of its
 occurrences whose values are trusted as that kind, and a value's trust is the best confidence
-of an accepted pattern that it stands in. The two are computed in turn until nothing new is
-accepted. Candidates in accepted patterns are then identifiers, whatever their own shape.
+of an accepted pattern that it stands in. The two are computed in turn until neither the
+accepted patterns nor any trust changes; both only rise, so this ends. Candidates in accepted
+patterns are then identifiers, whatever their own shape.
 
 Spans count code points, end exclusive. Java matches each kind from the leftmost place on;
 the patterns below only start a match where an earlier one cannot have failed for the same
@@ -41,7 +42,6 @@ SECRET = r"^(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{16,}$"
 MIN_VALUE = 6
 #: A pattern is accepted at this confidence and with this many different trusted values.
 MIN_CONFIDENCE, MIN_SUPPORT = 0.9, 5
-MAX_ROUNDS = 5
 
 
 def _luhn(digits: Column) -> Column:
@@ -150,23 +150,23 @@ def learn(tokens: DataFrame) -> DataFrame:
     totals = cut(edges.groupBy("pattern").agg(F.sum("n").alias("total")))
     trusted = cut(edges.where("kind IS NOT NULL").groupBy("value", "kind").agg(F.lit(1.0).alias("trust")))
     spread = cut(edges.groupBy("pattern", "value").agg(F.sum("n").alias("n")))
-    known = -1
-    for _ in range(MAX_ROUNDS):
+    while True:
         votes = spread.join(trusted, "value").groupBy("pattern", "kind").agg(
             F.sum(F.col("n") * F.col("trust")).alias("weight"), F.count(F.lit(1)).alias("support")
         )
+        # the counts are exact below 2^53, and a confidence is rounded, so the order of a sum changes nothing
         accepted = cut(
             votes.where(F.col("support") >= MIN_SUPPORT)
             .join(totals, "pattern")
-            .select("pattern", "kind", (F.col("weight") / F.col("total")).alias("confidence"))
+            .select("pattern", "kind", F.round(F.col("weight") / F.col("total"), 9).alias("confidence"))
             .where(F.col("confidence") >= MIN_CONFIDENCE)
         )
-        count = accepted.count()
-        if count == known:
-            break
-        known = count
         found = spread.join(accepted, "pattern").select("value", "kind", F.col("confidence").alias("trust"))
-        trusted = cut(trusted.union(found).groupBy("value", "kind").agg(F.max("trust").alias("trust")))
+        risen = cut(trusted.union(found).groupBy("value", "kind").agg(F.max("trust").alias("trust")))
+        # patterns depend on trust alone, so trust that stays keeps them too
+        if risen.join(trusted, ["value", "kind", "trust"], "left_anti").isEmpty():
+            break
+        trusted = risen
     return accepted
 
 
