@@ -180,3 +180,19 @@ def test_pair_scores(spark):
     for bad in ({"row_ids": ids}, {"row_ids": ["a", "a"]}, {"row_ids": ["a"], "model_a": part, "model_b": {"input_ids": [[1, 2]], "attention_mask": [[1, 2]]}}, {"row_ids": ["a"], "model_a": {"input_ids": [[1] * 257], "attention_mask": [[1] * 257]}, "model_b": part}):
         with pytest.raises(ContractError):
             models.check_pairs(bad)
+
+
+def test_pair_sequences_hold_whole_texts(spark, tmp_path):
+    from weirflow import queries
+
+    texts = ["a" * 64 + "b" * 500, "a" * 64 + "c" * 500, "x" * 256, "y" * 257, "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {}
+    for r in queries._pair_rows(spark, str(tmp_path)).collect():
+        doc, place = map(int, r.row_id.split(":"))
+        assert 1 <= len(r.ids_a) <= models.MAX_SEQUENCE and len(r.mask_a) == len(r.ids_a)
+        found.setdefault(doc, {})[place] = r.ids_a
+    for i, t in enumerate(texts):
+        assert [x for _, part in sorted(found[i].items()) for x in part] == [ord(c) for c in t or "\0"]
+    scores = {r.row_id: r.score_a for r in queries.queries()["pair_scores"](spark, str(tmp_path)).collect()}
+    assert scores["0:1"] != scores["1:1"] and len(scores) == sum(map(len, found.values()))

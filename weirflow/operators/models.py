@@ -278,6 +278,13 @@ def clustering(df: DataFrame, vector: str = "vector", n_clusters: int = 2, n_ini
 MAX_PAIR_ROWS, MAX_SEQUENCE, PAIR_BATCH = 512, 256, 128
 
 
+def sequences(ids: Column) -> Column:
+    """Token ids cut into consecutive sequences of at most ``MAX_SEQUENCE``; none for no token."""
+    starts = F.sequence(F.lit(0), F.floor((F.size(ids) - 1) / MAX_SEQUENCE).cast("int"))
+    cut = F.transform(starts, lambda k: F.slice(ids, k * MAX_SEQUENCE + 1, F.lit(MAX_SEQUENCE)))
+    return F.when(F.size(ids) > 0, cut).otherwise(F.array().cast("array<array<int>>"))
+
+
 def check_pairs(payload: dict) -> None:
     """Row ids and two models' padded token ids and masks, within the request's bounds."""
     ids = payload.get("row_ids")
@@ -310,9 +317,9 @@ def pair_scores(df: DataFrame, score_a: Callable, score_b: Callable) -> DataFram
                 part = pdf.iloc[at : at + PAIR_BATCH]
                 out = {"row_id": part["row_id"].to_numpy()}
                 for name, score in (("a", score_a), ("b", score_b)):
-                    masks = [list(m) for m in part[f"mask_{name}"]]
-                    longest = max(1, max((max((i + 1 for i, x in enumerate(m) if x), default=0) for m in masks), default=1))
-                    logits = np.asarray(score([list(t)[:longest] for t in part[f"ids_{name}"]], [m[:longest] for m in masks]), dtype=float)
+                    masks = [np.asarray(m) for m in part[f"mask_{name}"]]
+                    longest = max(1, max((int(np.flatnonzero(m)[-1]) + 1 if m.any() else 0 for m in masks), default=1))
+                    logits = np.asarray(score([np.asarray(t)[:longest].tolist() for t in part[f"ids_{name}"]], [m[:longest].tolist() for m in masks]), dtype=float)
                     e = np.exp(logits - logits.max(axis=1, keepdims=True))
                     out[f"score_{name}"] = e[:, 1] / e.sum(axis=1)
                 yield pd.DataFrame(out)

@@ -393,9 +393,13 @@ query("clustering")(lambda s, d: models.clustering(read(s, d, "embeddings"), "em
 
 
 def _pair_rows(s: SparkSession, d: str) -> DataFrame:
-    ids = F.transform(F.split(F.substring("text", 1, 64), ""), lambda c: F.coalesce(F.ascii(c), F.lit(0)))
-    mask = F.transform(ids, lambda x: F.lit(1))
-    return read(s, d, "documents").select(F.col("doc_id").cast("string").alias("row_id"), ids.alias("ids_a"), mask.alias("mask_a"), ids.alias("ids_b"), mask.alias("mask_b"))
+    """A row for each sequence of a document, named by document and place; every character is in one."""
+    ids = F.transform(F.split(F.coalesce("text", F.lit("")), ""), lambda c: F.ascii(c))
+    docs = read(s, d, "documents").select(F.col("doc_id").cast("string").alias("doc"), ids.alias("ids"))
+    parts = docs.select("doc", F.posexplode(models.sequences(F.col("ids"))).alias("place", "ids"))
+    mask = F.transform("ids", lambda x: F.lit(1))
+    row = F.concat_ws(":", "doc", F.col("place").cast("string"))
+    return parts.select(row.alias("row_id"), F.col("ids").alias("ids_a"), mask.alias("mask_a"), F.col("ids").alias("ids_b"), mask.alias("mask_b"))
 
 
 def _toy_logits(ids: list[list[int]], masks: list[list[int]]) -> list[list[float]]:
