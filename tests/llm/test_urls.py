@@ -1,3 +1,5 @@
+from urllib.parse import urljoin
+
 from weirflow.llm import urls
 
 
@@ -74,3 +76,26 @@ def test_null_and_empty(spark):
     assert judged(spark, plain([(1, "http://a.org/"), (1, "http://a.org/")]), [(None, "http://a.org/"), ("http://a.org/", None)]).count() == 2
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert urls.judge(df).count() == 0
+
+
+def test_targets_are_resolved_and_decoded(spark):
+    bases = ["http://a/b/c/d;p?q", "http://a", "http://a/b/?x/y"]
+    links = ["g", "./g", "g/", "/g", "//g", "?y", "g?y", "g?y/../z", "#s", ";x", ".", "./", "..", "../", "../g", "../..", "../../g", "../../../g", "/./g", "/../g", "g.", "g..", "./../g", "g/./h", "g/../h", "http://z/../x", "x:y"]
+    df = spark.createDataFrame([(b, link) for b in bases for link in links], "b string, v string")
+    got = {(r.b, r.v): r.u for r in df.select("b", "v", urls.resolved(df.b, df.v).alias("u")).collect()}
+    want = {(b, link): link if "://" in link else urljoin(b, link) for b in bases for link in links}
+    assert {k: (v, want[k]) for k, v in got.items() if v != want[k]} == {}
+    said = ["a&amp;b", "&#38;&#x26;", "&amp;amp;", "&#233;&#x4e2d;&#x1F642;", "a&copy=1&b", "&", "&quot;&#0;", "&amp"]
+    df = spark.createDataFrame([(x,) for x in said], "v string")
+    assert [r.u for r in df.select(urls.unescaped(df.v).alias("u")).collect()] == ["a&b", "&&", "&amp;", "é中🙂", "a&copy=1&b", "&", '"&#0;', "&"]
+
+
+def test_relative_aliases_are_blocked(spark):
+    head = '<link rel="canonical" href="%s">'
+    pages = [
+        (1, "https://c.net/es/x/bad", None), (2, "https://c.net/ok/page.html", head % "../es/x/bad"), (3, "https://c.net/ok/other", head % "page.html"),
+        (4, "https://d.org/p?a=1&b=2", head % "https://e.net/fr/"), (5, "https://d.org/p", head % "?a=1&amp;b=2"), (6, "https://d.org/q", '<meta http-equiv=refresh content="0; url=p">'),
+        (7, "https://d.org/z", head % "nowhere"),
+    ]
+    got = {r.page_id: r.verdict for r in judged(spark, [(*r, None, None) for r in pages]).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "block", 7: "allow"}

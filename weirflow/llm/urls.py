@@ -7,7 +7,7 @@ ruled urls to aliases without a rule. An explicit allow goes first: a url's own
 overridden, and a component that holds an explicitly allowed url passes no block on.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule,
-has no aliases and is allowed; repeated rows each get the verdict; an empty table gives an
+has no aliases and is allowed; targets are resolved against the page's url; repeated rows each get the verdict; an empty table gives an
 empty result; null html or one without links gives no edge.
 """
 
@@ -58,6 +58,59 @@ def node_of(url: Column) -> Column:
     return F.when(host_of(url) != "", F.concat(F.translate(head, UPPER, LOWER), F.substring(bare, F.length(head) + 1, F.length(bare))))
 
 
+def unescaped(value: Column) -> Column:
+    """An attribute's value without the character references that a url can hold, one level of them."""
+    code = lambda m: F.when(
+        m.rlike(r"(?i)^&#x"), F.conv(F.regexp_extract(m, r"(?i)^&#x([0-9a-f]+)", 1), 16, 10)
+    ).otherwise(F.regexp_extract(m, r"^&#([0-9]+)", 1)).cast("int")
+    named = lambda m: F.regexp_replace(F.lower(m), ";", "")
+    one = lambda m: (
+        F.when(named(m) == "&amp", "&").when(named(m) == "&lt", "<").when(named(m) == "&gt", ">")
+        .when(named(m) == "&quot", '"').when(named(m) == "&apos", "'")
+        .when(code(m).between(1, 127), F.chr(code(m)))
+        # chr() ends at 255, so other characters are built from their UTF-16 units
+        .when(code(m).between(128, 65535) & ~code(m).between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(code(m)), 4, "0")), "UTF-16BE"))
+        .when(code(m).between(65536, 0x10FFFF), F.decode(F.unhex(F.concat(
+            F.hex(0xD800 + F.floor((code(m) - 65536) / 1024)), F.hex(0xDC00 + F.pmod(code(m) - 65536, F.lit(1024))))), "UTF-16BE"))
+        .otherwise(m)
+    )
+    reference = r"(?i)&(?:amp|lt|gt|quot|apos);|&(?:amp|lt|gt|quot)(?![a-z0-9=])|&#(?:[0-9]{1,7}|x[0-9a-f]{1,6});"
+    found, parts = F.regexp_extract_all(value, F.lit(reference), 0), F.split(value, reference, -1)
+    decoded = F.array_join(F.zip_with(parts, F.transform(found, one), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return F.when(value.contains("&"), decoded).otherwise(value)
+
+
+def _without_dots(path: Column) -> Column:
+    """A path from '/' on without '.' and '..' segments."""
+    none = F.array().cast("array<string>")
+    segments = F.slice(F.split(path, "/", -1), 2, F.size(F.split(path, "/", -1)))
+    kept = F.aggregate(
+        segments, none,
+        lambda a, x: F.when(x == ".", a).when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(x))),
+    )
+    # a path that ends in a dot segment names a directory
+    ended = F.when(F.element_at(segments, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(ended, "/"))).otherwise(path)
+
+
+def resolved(base: Column, link: Column) -> Column:
+    """A link on the page ``base`` as an absolute url, as RFC 3986 resolves it."""
+    origin = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
+    path = path_of(base)
+    rooted = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
+    query = F.regexp_extract(base, r"(?s)^[^?#]*(\?[^#]*)", 1)
+    own = F.regexp_extract(link, r"(?s)^([^?#]*)", 1)
+    rest = F.substring(link, F.length(own) + 1, F.length(link))
+    return (
+        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)
+        .when(link.startswith("//"), F.concat(F.regexp_extract(base, r"(?s)^(.*?:)//", 1), link))
+        .when(link.startswith("/"), F.concat(origin, _without_dots(own), rest))
+        .when(link.startswith("?"), F.concat(origin, path, link))
+        .when(link.startswith("#") | (link == ""), F.concat(origin, path, query, link))
+        .otherwise(F.concat(origin, _without_dots(F.concat(F.regexp_extract(rooted, r"(?s)^(.*/)", 1), own)), rest))
+    )
+
+
 def page_edges(pages: DataFrame) -> DataFrame:
     """Edges (a, b) that pages name themselves: canonical links and refresh redirects."""
     html = F.when(F.col("html").rlike(r"(?i)canonical|http-equiv"), F.col("html"))
@@ -75,15 +128,11 @@ def page_edges(pages: DataFrame) -> DataFrame:
     )
     return (
         pages.select(F.col("url").alias("u"), F.explode(F.transform(tags, target)).alias("v"))
+        .withColumn("v", F.btrim(unescaped(F.col("v")), F.lit(" \t\n\x0c\r")))
         .where("v IS NOT NULL AND v <> ''")
         .select(
             node_of(F.col("u")).alias("a"),
-            # a link may be relative to the host or the scheme
-            node_of(
-                F.when(F.col("v").startswith("//"), F.concat(F.regexp_extract("u", r"^(.*?:)//", 1), "v"))
-                .when(F.col("v").startswith("/"), F.concat(F.regexp_extract("u", r"^(.*?://[^/?#]*)", 1), "v"))
-                .otherwise(F.col("v"))
-            ).alias("b"),
+            node_of(resolved(F.col("u"), F.col("v"))).alias("b"),
         )
     )
 
