@@ -196,3 +196,13 @@ def test_pair_sequences_hold_whole_texts(spark, tmp_path):
         assert [x for _, part in sorted(found[i].items()) for x in part] == [ord(c) for c in t or "\0"]
     scores = {r.row_id: r.score_a for r in queries.queries()["pair_scores"](spark, str(tmp_path)).collect()}
     assert scores["0:1"] != scores["1:1"] and len(scores) == sum(map(len, found.values()))
+
+
+def test_every_word_counts_unless_asked(spark):
+    step = 30_000
+    rows = [(float(i % 2), " ".join(f"w{k}" for k in range(i * step, i * step + step))) for i in range(9)]
+    df = spark.createDataFrame(rows, "label double, text string")
+    words = models.text_pipeline(9, max_iter=1).getStages()[:2]
+    assert len(words[1].fit(words[0].transform(df)).vocabulary) == 9 * step > 1 << 18
+    words = models.text_pipeline(9, max_features=7).getStages()[:2]
+    assert len(words[1].fit(words[0].transform(df)).vocabulary) == 7

@@ -49,12 +49,20 @@ def sgd_classifier(df: DataFrame, features: str = "features", label: str = "labe
     return kind(featuresCol=features, labelCol=label, maxIter=max_iter, tol=tol, regParam=alpha, standardization=False).fit(df)
 
 
-def text_pipeline(n: int, text: str = "text", label: str = "label", vectorizer: str = "tfidf", classifier: str = "logistic_regression", n_features: int = 4096, max_features: int = 1 << 18, C: float = 1.0, max_iter: int = 500, alpha: float = 1e-4) -> Pipeline:
-    """Words to a unit vector to a linear classifier, fitted on ``n`` rows."""
+#: The largest size that CountVectorizer takes; it never asks for more words than there are.
+EVERY_WORD = (1 << 31) - 1
+
+
+def text_pipeline(n: int, text: str = "text", label: str = "label", vectorizer: str = "tfidf", classifier: str = "logistic_regression", n_features: int = 4096, max_features: int | None = None, C: float = 1.0, max_iter: int = 500, alpha: float = 1e-4) -> Pipeline:
+    """Words to a unit vector to a linear classifier, fitted on ``n`` rows.
+
+    Every word counts unless ``max_features`` is given. The driver holds the words, as it holds
+    the coefficient of each.
+    """
     words = SQLTransformer(statement=f"SELECT *, regexp_extract_all(lower(coalesce({text}, '')), '{WORD.replace(chr(92), chr(92) * 2)}', 0) AS _words FROM __THIS__")
     if vectorizer == "tfidf":
         # Spark's smoothed idf, ln((n + 1) / (df + 1)), without the added one of tfidf()
-        stages = [words, CountVectorizer(inputCol="_words", outputCol="_counts", vocabSize=max_features), IDF(inputCol="_counts", outputCol="_raw")]
+        stages = [words, CountVectorizer(inputCol="_words", outputCol="_counts", vocabSize=EVERY_WORD if max_features is None else max_features), IDF(inputCol="_counts", outputCol="_raw")]
     elif vectorizer == "hashing":
         stages = [words, HashingTF(inputCol="_words", outputCol="_raw", numFeatures=n_features)]
     else:
