@@ -206,3 +206,29 @@ def test_every_word_counts_unless_asked(spark):
     assert len(words[1].fit(words[0].transform(df)).vocabulary) == 9 * step > 1 << 18
     words = models.text_pipeline(9, max_features=7).getStages()[:2]
     assert len(words[1].fit(words[0].transform(df)).vocabulary) == 7
+
+
+def test_queries_keep_the_operators_defaults(monkeypatch):
+    from weirflow import queries
+
+    seen = {}
+
+    class Stop(Exception):
+        pass
+
+    def note(name):
+        def run(*args, **options):
+            seen.setdefault(name, []).append((len(args), options))
+            raise Stop
+        return run
+
+    monkeypatch.setattr(queries, "_labelled", lambda s, d: None)
+    monkeypatch.setattr(queries, "read", lambda s, d, name: None)
+    names = ["train_test", "group_holdout", "cross_validate", "calibrate", "clustering", "train_test_hashing"]
+    for name in names:
+        with monkeypatch.context() as m:
+            m.setattr(models, name.removesuffix("_hashing"), note(name))
+            with pytest.raises(Stop):
+                queries.queries()[name](None, "")
+    assert {k: v[0][1] for k, v in seen.items()} == {n: {} for n in names[:-1]} | {"train_test_hashing": {"vectorizer": "hashing"}}
+    assert seen["clustering"][0][0] == 3

@@ -366,30 +366,28 @@ def _labelled(s: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", "text", F.col("quality").cast("double").alias("label"), F.col("source").alias("group"))
 
 
-SMALL = {"vectorizer": "hashing", "n_features": 1024, "max_iter": 30}
-
-
 def _metrics(s: SparkSession, values: dict) -> DataFrame:
     return s.createDataFrame([(k, float(v)) for k, v in sorted(values.items())], "metric string, value double")
 
 
-query("train_test")(lambda s, d: _metrics(s, models.train_test(_labelled(s, d), **SMALL).metrics))
-query("group_holdout")(lambda s, d: _metrics(s, models.group_holdout(_labelled(s, d), **SMALL).metrics))
-query("cross_validate")(lambda s, d: _metrics(s, {f"fold_{i}": x for i, x in enumerate(models.cross_validate(_labelled(s, d), **SMALL)["scores"])}))
-query("calibrate")(lambda s, d: models.calibrate(_labelled(s, d), cv=2, **SMALL).transform(_labelled(s, d)).select("doc_id", "label", F.round("probability_1", 6).alias("probability_1")))
+query("train_test")(lambda s, d: _metrics(s, models.train_test(_labelled(s, d)).metrics))
+query("train_test_hashing")(lambda s, d: _metrics(s, models.train_test(_labelled(s, d), vectorizer="hashing").metrics))
+query("group_holdout")(lambda s, d: _metrics(s, models.group_holdout(_labelled(s, d)).metrics))
+query("cross_validate")(lambda s, d: _metrics(s, {f"fold_{i}": x for i, x in enumerate(models.cross_validate(_labelled(s, d))["scores"])}))
+query("calibrate")(lambda s, d: models.calibrate(_labelled(s, d)).transform(_labelled(s, d)).select("doc_id", "label", F.round("probability_1", 6).alias("probability_1")))
 query("batch_inference")(
-    lambda s, d: models.batch_inference(read(s, d, "documents"), models.text_pipeline(100, **SMALL).fit(_labelled(s, d)), 0.5).select("doc_id", "prediction", F.round("positive", 6).alias("positive"), "passed")
+    lambda s, d: models.batch_inference(read(s, d, "documents"), models.text_pipeline(100).fit(_labelled(s, d)), 0.5).select("doc_id", "prediction", F.round("positive", 6).alias("positive"), "passed")
 )
 
 
 def _linear(fit, s: SparkSession, d: str) -> DataFrame:
-    table = text_features.hashing_vectorizer(_labelled(s, d), n_features=512)
+    table = text_features.hashing_vectorizer(_labelled(s, d))
     return fit(table).transform(table).select("doc_id", "label", "prediction")
 
 
-query("logistic_regression")(lambda s, d: _linear(lambda t: models.logistic_regression(t, max_iter=30), s, d))
-query("sgd_classifier")(lambda s, d: _linear(lambda t: models.sgd_classifier(t, max_iter=30), s, d))
-query("clustering")(lambda s, d: models.clustering(read(s, d, "embeddings"), "embedding", 10, 2)[0].select("vec_id", "cluster"))
+query("logistic_regression")(lambda s, d: _linear(models.logistic_regression, s, d))
+query("sgd_classifier")(lambda s, d: _linear(models.sgd_classifier, s, d))
+query("clustering")(lambda s, d: models.clustering(read(s, d, "embeddings"), "embedding", 10)[0].select("vec_id", "cluster"))
 
 
 def _pair_rows(s: SparkSession, d: str) -> DataFrame:
