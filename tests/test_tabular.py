@@ -179,3 +179,15 @@ def test_only_joins_take_two_tables(spark):
     with pytest.raises(ContractError):
         registry.run("tabular.join", {"on": ["v"]}, data=df)
     assert registry.run("tabular.join", {"on": ["v"]}, data=df, right=df).count() == 1
+
+
+def test_json_arrays_are_written_by_partition(spark, tmp_path):
+    import json
+
+    df = spark.range(1000).selectExpr("id", "if(id % 7 = 0, NULL, concat('a\\n\"', id)) AS b").repartition(5)
+    path = tables.write(df, str(tmp_path / "t.json"), "json")
+    parts = [json.loads(f.read_text()) for f in (tmp_path / "t.json").glob("part-*")]
+    assert len(parts) == 5 and sum(map(len, parts)) == 1000
+    assert sorted(rows(tables.read(spark, path, df.schema)), key=str) == sorted(rows(df), key=str)
+    path = tables.write(df.where("id < 0"), str(tmp_path / "e.json"), "json")
+    assert tables.read(spark, path, df.schema).count() == 0

@@ -189,6 +189,10 @@ def _migrated(kind: str, name: str) -> Query:
 for kind, name in (("jsonl", "region"), ("csv", "nation"), ("parquet", "nation"), ("json", "region")):
     query(f"format_migration_{kind}", f"SELECT * FROM {name}")(_migrated(kind, name))
 
+# over tables that grow
+for kind, name in (("json", "documents"), ("jsonl", "documents"), ("csv", "lineitem"), ("parquet", "events")):
+    query(f"format_migration_{kind}_{name}", f"SELECT * FROM {name}")(_migrated(kind, name))
+
 # replay
 
 MS = "timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)"

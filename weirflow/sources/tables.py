@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,8 +51,18 @@ def read(spark: SparkSession, source, schema: str | None = None, kind: str | Non
     return reader.parquet(source)
 
 
+def _array_lines(batches):
+    """The lines of one JSON array, a row on each, as they come."""
+    lead = "["
+    for pdf in batches:
+        if len(pdf):
+            yield pdf.assign(value=[lead + pdf["value"].iloc[0], *("," + pdf["value"].iloc[1:])])
+            lead = ","
+    yield pd.DataFrame({"value": ["[]" if lead == "[" else "]"]})
+
+
 def write(df: DataFrame, path: str, kind: str, mode: str = "errorifexists") -> str:
-    """Write a table. A JSON array is one document, so its rows come together in one task."""
+    """Write a table. As JSON, each partition is a file with an array of its own."""
     writer = df.write.mode(mode)
     if kind == "csv":
         writer.csv(path, header=True)
@@ -60,8 +71,9 @@ def write(df: DataFrame, path: str, kind: str, mode: str = "errorifexists") -> s
     elif kind == "parquet":
         writer.parquet(path)
     elif kind == "json":
-        whole = F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})), ","), F.lit("]"))
-        df.agg(whole.alias("value")).write.mode(mode).text(path)
+        rows = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+        # a limit of the session on a file's rows would cut an array
+        rows.mapInPandas(_array_lines, "value string").write.mode(mode).option("maxRecordsPerFile", 0).text(path)
     else:
         raise ContractError("output_format must be one of csv, json, jsonl, parquet")
     return path
