@@ -6,7 +6,10 @@ and the set of rules it enforces, so applying another policy, or asking what a r
 costs, is arithmetic on the masks and never another pass over texts.
 
 Defined results: a null text has no words and fails like an empty one; repeated rows give
-repeated ledger rows; null ids stay null; other input columns are not looked at.
+repeated ledger rows, and equal texts equal masks; null ids stay null; an empty table gives an
+empty ledger, and ablations without a row; a text costs its size times the logarithm of its
+number of words, however long it is; other input columns are not looked at, may have the names
+of measurements, and are kept by ``keep``.
 """
 
 from __future__ import annotations
@@ -46,12 +49,12 @@ def _repeat_words(w: Column) -> Column:
     """Words that lie in a 3-word window found twice or more in the text.
 
     A window is packed into one long, its hash above and its place below; after a sort of
-    longs, windows of one text stand together. The few places whose hash has company are
-    then grouped by the window's own text, so that a chance collision counts nothing.
+    primitive longs, windows of one text stand together. The few places whose hash has company
+    are then grouped by the window's own text, so that a chance collision counts nothing.
     """
     n = F.size(w)
     bits = F.length(F.bin(n))
-    packed = F.array_sort(
+    packed = F.sort_array(
         F.transform(
             F.sequence(F.lit(1), n - 2),
             lambda i: F.call_function("shiftleft", F.xxhash64(F.get(w, i - 1), F.get(w, i), F.get(w, i + 1)), bits)
@@ -65,7 +68,7 @@ def _repeat_words(w: Column) -> Column:
             p, lambda x, i: (head(x) == head(F.get(p, i - 1))) | (head(x) == head(F.get(p, i + 1)))
         )
         place = lambda x: (x - F.call_function("shiftleft", head(x), bits)).cast("int")
-        return F.array_sort(
+        return F.sort_array(
             F.transform(
                 near,
                 lambda x: F.struct(
@@ -77,7 +80,7 @@ def _repeat_words(w: Column) -> Column:
 
     def places(s: Column) -> Column:
         twice = F.filter(s, lambda x, i: (x.t == F.get(s, i - 1).t) | (x.t == F.get(s, i + 1).t))
-        return F.array_sort(F.transform(twice, lambda x: x.i))
+        return F.sort_array(F.transform(twice, lambda x: x.i))
 
     def covered(at: Column) -> Column:
         return F.aggregate(
