@@ -51,6 +51,28 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+#: At most this many keys are hot: those with so many rows, or that share of all rows.
+HOT_KEYS = 10_000
+
+
+def lookup(many: DataFrame, one: DataFrame, key: str, rows: int, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``many`` with the columns of ``one``, which has ``rows`` rows, one for each key.
+
+    Within ``limit`` rows ``one`` is sent out. Beyond it the two are shuffled, but for the keys
+    that hold so many rows of ``many`` that one task would get too much: there are at most
+    HOT_KEYS of those, and their part of ``one`` is sent out. ``many`` should be frozen.
+    """
+    if rows <= limit:
+        return many.join(F.broadcast(one), key, how)
+    counts = many.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    hot = cut(counts.where((F.col("_n") >= max(HOT_KEYS, many.count() // HOT_KEYS)) & F.col(key).isNotNull()).select(key))
+    if hot.isEmpty():
+        return many.join(one, key, how)
+    heavy = F.broadcast(one.join(F.broadcast(hot), key, "left_semi"))
+    rest = many.join(F.broadcast(hot), key, "left_anti").join(one, key, how)
+    return rest.unionByName(many.join(F.broadcast(hot), key, "left_semi").join(heavy, key, how))
+
+
 def keep_where(df: DataFrame, condition: Column) -> DataFrame:
     """Filter on computed columns without computing them again.
 

@@ -19,14 +19,14 @@ its size.
 At SIMILARITY two documents share a band with probability over 0.999.
 
 Defined results: a null text is its own class and is kept; texts without a word are compared as
-exact copies only; a text under five words is one shingle; class_id is the least doc_id of the
+exact copies only; a text under five words is one shingle; a very long text is hashed and aligned
+whole, a few hash functions at a time; class_id is the least doc_id of the
 group, null only if all its ids are null; rows that repeat id and text get equal rows; empty
 tables give an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm._common import cut, small, words
+from weirflow.llm._common import cut, lookup, small, words
 from weirflow.llm.components import components
 from weirflow.llm.sharding import number
 
@@ -45,7 +45,9 @@ PICKS, ROWS, BANDS = 2, 3, 32
 #: Digests of documents are broadcast below this many rows of some 50 bytes; beyond it they are joined.
 BROADCAST_DIGESTS = 100_000
 #: Rows that a Python worker holds at once.
-BATCH = 256
+BATCH, BATCH_BYTES = 256, 8 << 20
+#: Members that a copy of their centre's words is sent to.
+MEMBERS = 500
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -159,27 +161,23 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kept: OrderedDict[int, np.ndarray] = OrderedDict()
-
-    def shingles(node: int, w: np.ndarray) -> np.ndarray:
-        if node not in kept:
-            kept[node] = labelled_shingles(w)
-            if len(kept) > 8:
-                kept.popitem(last=False)
-        return kept[node]
-
+    """Rows come by centre, and a centre's own row, which has no b, before those of its members."""
+    centre, sx = None, np.zeros(0, np.uint64)
     for batch in batches:
-        a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-        shared, sizes_a, sizes_b, link, rest = [], [], [], [], []
-        for x, wx, wy in zip(a, _lists(batch.column("wa")), _lists(batch.column("wb")), strict=True):
-            sx, sy = shingles(x, wx), labelled_shingles(wy)
-            common, on = aligned(sx, sy)
-            both = len(sx) + len(sy)
-            shared.append(common)
-            sizes_a.append(len(sx))
-            sizes_b.append(len(sy))
+        a, b, shared, sizes_a, sizes_b, link, rest = ([] for _ in range(7))
+        for x, y, w in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), _lists(batch.column("w")), strict=True):
+            s = labelled_shingles(w)
+            if y is None:
+                centre, sx = x, s
+                continue
+            if x != centre:
+                raise ValueError("a member came without its centre")
+            common, on = aligned(sx, s)
+            both = len(sx) + len(s)
+            for column, value in zip((a, b, shared, sizes_a, sizes_b), (x, y, common, len(sx), len(s)), strict=True):
+                column.append(value)
             link.append(both > 0 and on >= SIMILARITY * (both - on))
-            rest.append(np.setdiff1d(sy, sx, assume_unique=True).astype(np.int64))
+            rest.append(np.setdiff1d(s, sx, assume_unique=True).astype(np.int64))
         yield pa.RecordBatch.from_arrays(
             [pa.array(x, pa.int64()) for x in (a, b, shared, sizes_a, sizes_b)] + [pa.array(link, pa.bool_()), pa.array(rest, pa.list_(pa.int64()))],
             ["a", "b", "shared", "size_a", "size_b", "link", "rest"],
@@ -188,14 +186,20 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @contextmanager
 def _batches(spark: SparkSession):
-    """Small Arrow batches, so that long texts do not gather in a worker."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(BATCH))
+    """Arrow batches bounded by rows and bytes, so that long texts do not gather in a worker.
+
+    A plan reads these when it is made; another query of the session that is planned
+    meanwhile gets small batches too, which changes none of its rows.
+    """
+    bounds = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    before = {name: spark.conf.get(name) for name in bounds}
+    for name, value in bounds.items():
+        spark.conf.set(name, str(value))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def _word_hashes(docs: DataFrame) -> DataFrame:
@@ -218,12 +222,16 @@ def _compare(docs: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
         (F.col("digest") == F.col("g")) & F.col("doc_id").eqNullSafe(F.col("rep")),
     )
     held = cut(chosen.select("node", "w").dropDuplicates(["node"]))
-    joined = pairs.join(held.select(F.col("node").alias("b"), F.col("w").alias("wb")), "b").join(
-        held.select(F.col("node").alias("a"), F.col("w").alias("wa")), "a"
-    )
+    sizes = cut(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")))
+    part = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / MEMBERS)).cast("int")
+    dealt = cut(lookup(pairs, sizes, "a", sizes.count()).select("a", "b", part.alias("part")))
+    members = dealt.join(held.select(F.col("node").alias("b"), "w"), "b").select("a", "part", "b", "w")
+    centres = dealt.select("a", "part").distinct().join(held.select(F.col("node").alias("a"), "w"), "a")
+    stream = members.unionByName(centres.withColumn("b", F.lit(None).cast("long")))
     with _batches(spark):
+        by_centre = stream.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
         return cut(
-            joined.select("a", "b", "wa", "wb").mapInArrow(_verify, "a long, b long, shared long, size_a long, size_b long, link boolean, rest array<long>")
+            by_centre.select("a", "b", "w").mapInArrow(_verify, "a long, b long, shared long, size_a long, size_b long, link boolean, rest array<long>")
         )
 
 
@@ -238,14 +246,15 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = cut(numbered)
     keys = texts.select("node", F.explode("bands").alias("key"))
     full = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    inside = cut(keys.join(full, "key"))
+    n_bands = full.count()
+    inside = cut(lookup(keys, full, "key", n_bands))
     fullness = inside.groupBy("node").agg(F.sum("n").alias("fullness"))
     centre = cut(
         inside.select("key", "node").join(fullness, "node").groupBy("key").agg(F.max(F.struct("fullness", "node")).alias("c")).select("key", F.col("c.node").alias("centre"))
     )
-    members = cut(inside.select("key", "node").join(centre, "key").where("node <> centre"))
+    members = cut(lookup(inside.select("key", "node"), centre, "key", n_bands).where("node <> centre"))
     texts = texts.select("digest", "rep", "node")
-    tested = _compare(docs, texts, members.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
+    tested = _compare(docs, texts, cut(members.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()))
     edges = tested.where("link").select("a", "b")
     more = _open_pairs(members, tested, components(edges))
     if not more.isEmpty():
@@ -255,14 +264,15 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _open_pairs(members: DataFrame, tested: DataFrame, label: DataFrame) -> DataFrame:
     """Pairs (a, b) of one band and different components that the comparisons with its centre leave open."""
+    n_labels = label.count()
+    of_centre = label.select(F.col("node").alias("centre"), F.col("label").alias("main"))
     named = (
-        members.join(label, "node", "left")
-        .join(label.select(F.col("node").alias("centre"), F.col("label").alias("main")), "centre", "left")
+        lookup(cut(lookup(members, label, "node", n_labels, "left")), of_centre, "centre", n_labels, "left")
         .select("key", "centre", "node", F.coalesce("label", "node").alias("label"), F.coalesce("main", "centre").alias("main"))
     )
     stray = cut(named.where("label <> main"))
     several = cut(stray.select("key").distinct())
-    named = cut(named.join(several, "key", "left_semi"))
+    named = cut(lookup(cut(named), several, "key", several.count()))
     # of what a text has and its centre lacks, the part that another text has too
     compared = named.select("centre", "node").distinct()
     facts = tested.select(F.col("a").alias("centre"), F.col("b").alias("node"), "shared", "size_a", "size_b", "rest").join(compared, ["centre", "node"])
@@ -288,7 +298,7 @@ def _open_pairs(members: DataFrame, tested: DataFrame, label: DataFrame) -> Data
     least = cut(rows.groupBy("key").agg(F.min("size").alias("least")))
     # no partner in its band is small enough for what it can share
     able = F.col("shared") + F.col("loose") + 1e-6 >= part * (F.col("size") + F.col("least"))
-    rows = cut(rows.join(least, "key").where(able).drop("least"))  # cut, so that adaptive execution can split a full band
+    rows = cut(lookup(rows, least, "key", least.count()).where(able).drop("least"))  # cut, so that adaptive execution can split a full band
     s = rows.where("label <> main").select("key", *[F.col(c).alias(f"s_{c}") for c in ("node", "label", "shared", "size", "loose", "distance")])
     m = rows.select("key", F.col("main"), *[F.col(c).alias(f"m_{c}") for c in ("node", "label", "shared", "size", "loose", "distance")])
     most = F.least("s_shared", "m_shared") + F.least("s_loose", "m_loose")
@@ -306,9 +316,12 @@ def classes(docs: DataFrame) -> DataFrame:
     """(digest, copy_of, class_id): for every distinct text the least id of its copies and of its group."""
     texts, edges = links(docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text")))
     label = components(edges)
-    grouped = cut(texts.join(label, "node", "left").select("digest", "rep", F.coalesce("label", "node").alias("label")))
-    least = cut(grouped.groupBy("label").agg(F.min("rep").alias("class_id")))
-    return cut(grouped.join(least, "label").select("digest", F.col("rep").alias("copy_of"), "class_id"))
+    n_labels = label.count()
+    grouped = cut(lookup(texts, label, "node", n_labels, "left").select("digest", "rep", "label"))
+    linked = grouped.where("label IS NOT NULL")
+    least = cut(linked.groupBy("label").agg(F.min("rep").alias("class_id")))
+    alone = grouped.where("label IS NULL").select("digest", F.col("rep").alias("copy_of"), F.col("rep").alias("class_id"))
+    return cut(lookup(linked, least, "label", n_labels).select("digest", F.col("rep").alias("copy_of"), "class_id").union(alone))
 
 
 def op1_rows(docs: DataFrame) -> DataFrame:
