@@ -47,7 +47,7 @@ BROADCAST_DIGESTS = 100_000
 #: Rows that a Python worker holds at once.
 BATCH, BATCH_BYTES = 256, 8 << 20
 #: Members that a copy of their centre's words is sent to.
-MEMBERS = 500
+MEMBERS = 64
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
