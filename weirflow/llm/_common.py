@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,11 +52,33 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+#: Rows and bytes that a Python worker gets at once.
+BATCH, BATCH_BYTES = 256, 8 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches bounded by rows and bytes, so that long texts do not gather in a worker.
+
+    A plan reads these when it is made; another query of the session that is planned
+    meanwhile gets small batches too, which changes none of its rows.
+    """
+    bounds = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    before = {name: spark.conf.get(name) for name in bounds}
+    for name, value in bounds.items():
+        spark.conf.set(name, str(value))
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 #: At most this many keys are hot: those with so many rows, or that share of all rows.
 HOT_KEYS = 10_000
 
 
-def lookup(many: DataFrame, one: DataFrame, key: str, rows: int, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
+def lookup(many: DataFrame, one: DataFrame, key: str | list[str], rows: int, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
     """``many`` with the columns of ``one``, which has ``rows`` rows, one for each key.
 
     Within ``limit`` rows ``one`` is sent out. Beyond it the two are shuffled, but for the keys
@@ -64,8 +87,9 @@ def lookup(many: DataFrame, one: DataFrame, key: str, rows: int, how: str = "inn
     """
     if rows <= limit:
         return many.join(F.broadcast(one), key, how)
-    counts = many.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    hot = cut(counts.where((F.col("_n") >= max(HOT_KEYS, many.count() // HOT_KEYS)) & F.col(key).isNotNull()).select(key))
+    names = [key] if isinstance(key, str) else key
+    counts = many.dropna(subset=names).groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+    hot = cut(counts.where(F.col("_n") >= max(HOT_KEYS, many.count() // HOT_KEYS)).select(*names))
     if hot.isEmpty():
         return many.join(one, key, how)
     heavy = F.broadcast(one.join(F.broadcast(hot), key, "left_semi"))

@@ -28,14 +28,13 @@ tables give an empty result; other columns are not looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm._common import cut, lookup, small, words
+from weirflow.llm._common import cut, lookup, small, small_batches, words
 from weirflow.llm.components import components
 from weirflow.llm.sharding import number
 
@@ -44,8 +43,6 @@ SIMILARITY = 0.8
 PICKS, ROWS, BANDS = 2, 3, 32
 #: Digests of documents are broadcast below this many rows of some 50 bytes; beyond it they are joined.
 BROADCAST_DIGESTS = 100_000
-#: Rows that a Python worker holds at once.
-BATCH, BATCH_BYTES = 256, 8 << 20
 #: Members that a copy of their centre's words is sent to.
 MEMBERS = 64
 
@@ -184,24 +181,6 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-@contextmanager
-def _batches(spark: SparkSession):
-    """Arrow batches bounded by rows and bytes, so that long texts do not gather in a worker.
-
-    A plan reads these when it is made; another query of the session that is planned
-    meanwhile gets small batches too, which changes none of its rows.
-    """
-    bounds = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
-    before = {name: spark.conf.get(name) for name in bounds}
-    for name, value in bounds.items():
-        spark.conf.set(name, str(value))
-    try:
-        yield
-    finally:
-        for name, value in before.items():
-            spark.conf.set(name, value)
-
-
 def _word_hashes(docs: DataFrame) -> DataFrame:
     """(digest, doc_id, w) of the rows that have a text."""
     return docs.where("text IS NOT NULL").select(
@@ -228,7 +207,7 @@ def _compare(docs: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
     members = dealt.join(held.select(F.col("node").alias("b"), "w"), "b").select("a", "part", "b", "w")
     centres = dealt.select("a", "part").distinct().join(held.select(F.col("node").alias("a"), "w"), "a")
     stream = members.unionByName(centres.withColumn("b", F.lit(None).cast("long")))
-    with _batches(spark):
+    with small_batches(spark):
         by_centre = stream.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
         return cut(
             by_centre.select("a", "b", "w").mapInArrow(_verify, "a long, b long, shared long, size_a long, size_b long, link boolean, rest array<long>")
@@ -239,7 +218,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(texts, edges): a node for each distinct text (digest, rep, node), and verified links (a, b)
     whose components are those of all links between candidates."""
     spark = docs.sparkSession
-    with _batches(spark):
+    with small_batches(spark):
         sketched = cut(_word_hashes(docs).mapInArrow(_sketch, "digest binary, doc_id long, bands array<long>"))
     distinct = sketched.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     numbered, _ = number(distinct, ["digest"], ["digest"], "node")

@@ -23,7 +23,6 @@ def queries() -> dict[str, Query]:
         "op7_pii": lambda s, d: pii.op7_rows(read(s, d, "documents")),
         "op8_chat": lambda s, d: chat.op8_rows(chat.with_probe(read(s, d, "conversations"))),
         "op9_line_dedup": lambda s, d: line_dedup.op9_rows(read(s, d, "documents")),
-        "op9_line_dedup_all": lambda s, d: line_dedup.op9_rows(read(s, d, "documents"), min_chars=1),
         "op10_urls": lambda s, d: urls.judge(read(s, d, "pages")),
     }
 
@@ -36,6 +35,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_decontam": decontam.ORACLE,
         "op8_chat": chat.ORACLE,
         "op9_line_dedup": line_dedup.ORACLE,
-        "op9_line_dedup_all": line_dedup.ORACLE_ALL,
         "op10_urls": urls.ORACLE,
     }
