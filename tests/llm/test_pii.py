@@ -65,9 +65,96 @@ def test_contexts_find_unseen_identifiers(spark, rng):
     assert all(got[i].count("secret:") == 2 for i in range(12))
 
 
-def test_base_spans_stay_among_all(docs):
-    for r in pii.op7_rows(docs).collect():
-        assert r.n_email + r.n_ip + r.n_card + r.n_phone <= len(r.spans.split(","))  or not r.spans
+def strip_digits(x):
+    return re.sub("[0-9]+", "0", x.lower())
+
+
+def bootstrap(rows, limits=pii.Limits()):
+    """All spans of (doc, text) rows by plain Python."""
+    tokens = []
+    for n, (_, t) in enumerate(rows):
+        t = t or ""
+        base = [(s, k) for s in brute(t)[2].split(",") if s for k in [s.split(":")[0]]]
+        base = [(k, *map(int, s.split(":")[1:])) for s, k in base]
+        words = [(m.start(), m[0]) for m in re.finditer(r"[^ \t\n\x0b\f\r]+", t)]
+        for i, (at, w) in enumerate(words):
+            key = re.match(r"[A-Za-z_][A-Za-z0-9_.-]*[=:](?=.|$)", w)
+            # the key ends at the first = or :, which is no character of a key
+            key = key[0] if key else ""
+            behind = i > 0 and words[i - 1][1][-1] in "=:" and at == words[i - 1][0] + len(words[i - 1][1]) + 1
+            if not (re.search("[0-9]", w) or (key and len(w) > len(key)) or behind):
+                continue
+            rest = w[len(key) :]
+            lead = re.match(r"[\"'(\[<{]*", rest)[0]
+            value = rest[len(lead) :].rstrip("\"')]>},;.!?")
+            last, prev = (words[i - 1][1] if i else ""), (words[i - 2][1] if i > 1 else "")
+            outer = f"{prev} {last} " if last in ("=", ":") and prev else f"{last} " if last else ""
+            pattern = strip_digits((key or outer) + lead)
+            if len(value) < limits.min_value or not (re.search("[0-9]", value) or re.search(r"[=:][ \"'(\[<{]*$", pattern)):
+                continue
+            a = at + len(key) + len(lead)
+            b = a + len(value)
+            kind = next((k for kind in ("email", "ip", "card", "phone") for k, x, y in base if k == kind and x < b and a < y), None)
+            if kind is None and re.fullmatch(r"(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{16,}", value):
+                kind = "secret"
+            tokens.append((n, a, b, pattern, value, kind))
+    trust = {(v, k): 1.0 for _, _, _, _, v, k in tokens if k}
+    pairs = [(p, v) for _, _, _, p, v, _ in tokens if p]
+    while True:
+        accepted = {}
+        for p in {p for p, _ in pairs}:
+            values = [v for q, v in pairs if q == p]
+            for k in pii.KINDS:
+                some = [v for v in values if (v, k) in trust]
+                c = round(sum(trust[v, k] for v in some) / len(values), 9)
+                if len(set(some)) >= limits.min_support and c >= limits.min_confidence:
+                    accepted[p, k] = c
+        new = dict(trust)
+        for p, v in pairs:
+            for k in pii.KINDS:
+                if (p, k) in accepted:
+                    new[v, k] = max(new.get((v, k), 0), accepted[p, k])
+        if new == trust:
+            break
+        trust = new
+    best = {}
+    for (p, k), c in sorted(accepted.items(), key=lambda x: (-x[1], x[0][1])):
+        best.setdefault(p, k)
+    out = []
+    for n, (d, t) in enumerate(rows):
+        found = {(k, int(a), int(b)) for x in brute(t)[2].split(",") if x for k, a, b in [x.split(":")]}
+        base = len(found)
+        added = {(k or best.get(p), a, b) for m, a, b, p, _, k in tokens if m == n and (k == "secret" or k is None and p in best)}
+        both = sorted([*found, *added], key=lambda x: (pii.KINDS.index(x[0]), *x[1:]))
+        out.append((d, base, len(added), ",".join(f"{k}:{a}:{b}" for k, a, b in both)))
+    return sorted(out, key=str)
+
+
+def spans_of(df, *limits):
+    return sorted(((r.doc_id, r.n_email + r.n_ip + r.n_card + r.n_phone, r.n_spans - r.n_email - r.n_ip - r.n_card - r.n_phone, r.spans) for r in pii.op7_rows(df, *limits).collect()), key=str)
+
+
+def test_bootstrapping_equals_brute_force(spark, docs, rng):
+    keys = ["password=", "token: ", "id2: ", "key = ", "seen by ", "mail ", "pin=", "k1=(", "user: \""]
+    seeds = ["%020x" % rng.getrandbits(80) + "a1" for _ in range(12)]
+    values = [lambda: rng.choice(seeds), lambda: rng.choice(seeds), lambda: "correcthorse", lambda: f"u{rng.randrange(3)}@h{rng.randrange(9)}.org", lambda: str(rng.randrange(10**8)), lambda: "plain", lambda: f"hunter{rng.randrange(40)}x."]
+    weights = {k: [rng.choice([0, 1, 8]) for _ in values] for k in keys}
+    rows = [(i, "  ".join(f"w{i} " * 20 + rng.choice(keys) + rng.choices(values, [x + 0.01 for x in weights[k]])[0]() for k in rng.choices(keys, k=6))) for i in range(60)]
+    rows += [(100 + i, rng.choice(keys) + rng.choices(values, [x + 0.01 for x in weights[k]])[0]() + " end") for i in range(150) for k in [rng.choice(keys)]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for limits in (pii.Limits(), pii.Limits(min_confidence=0.4, min_support=2), pii.Limits(min_value=1, min_confidence=0.2)):
+        got = spans_of(df, limits)
+        assert got == bootstrap(rows, limits)
+    assert sum(r[2] for r in got) > 150
+    assert spans_of(docs) == bootstrap([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_values_without_digits_and_far_contexts(spark, rng):
+    rows = [(i, f"x password={'%020x' % rng.getrandbits(80)}a1 y {'k' * 60}2 = {'%020x' % rng.getrandbits(80)}b2") for i in range(40)]
+    rows += [(100, "my password=correcthorse ok"), (101, f"{'k' * 60}7 = batterystaple"), (102, "the word correct stays")]
+    got = {r.doc_id: r for r in pii.op7_rows(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100].spans == "secret:12:24" and got[101].spans == "secret:64:77" and got[102].spans == ""
+    assert got[0].n_secret == 2 and got[0].n_spans == 2
 
 
 def test_empty_table(no_docs):

@@ -1,28 +1,33 @@
 """Personal data by fixed shapes and by bootstrapped context.
 
 Emails, addresses of hosts, cards and phones have shapes; their spans are the base. Long
-hexadecimal tokens are seeds of the kind ``secret``. All other tokens with a digit are
-candidates. What stands before a seed or candidate is its lexical pattern. Patterns and token
-values form a weighted graph: a pattern's confidence for a kind is the share of its
+hexadecimal tokens are seeds of the kind ``secret``. All other tokens with a digit, and all
+that stand behind an equals sign or colon, are candidates. What stands before a seed or
+candidate is its lexical pattern: its key, or the word before it, with numbers as 0. Patterns
+and token values form a weighted graph: a pattern's confidence for a kind is the share of its
 occurrences whose values are trusted as that kind, and a value's trust is the best confidence
 of an accepted pattern that it stands in. The two are computed in turn until neither the
 accepted patterns nor any trust changes; both only rise, so this ends. Candidates in accepted
-patterns are then identifiers, whatever their own shape.
+patterns are then identifiers, whatever their own shape. What a pattern and a value need to
+count are parameters (``Limits``).
 
 Spans count code points, end exclusive. Java matches each kind from the leftmost place on;
 the patterns below only start a match where an earlier one cannot have failed for the same
 reason, and never give back what they took, so very long tokens cost linear time.
 
 Defined results: null text is empty and has no spans; rows are kept apart even if they repeat;
-an empty table gives an empty result; other columns are not looked at.
+of kinds whose patterns are equally trusted the first by name is taken; very long texts are
+read whole; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm._common import bind, cut, running_sum, small
+from weirflow.llm._common import bind, cut, lookup, running_sum
 
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 
@@ -35,13 +40,23 @@ BASE = (
 )
 KINDS = (*(kind for kind, _, _ in BASE), "secret")
 
-TOKEN = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
+#: A token with a digit, one with a key of its own, or one behind a key and a space.
+TOKEN = r"(?<!\S)(?:[^\s0-9]*+[0-9]\S*+|[A-Za-z_][A-Za-z0-9_.-]*+[=:]\S++|(?<=[=:]\s)\S++)"
+KEY = r"^([A-Za-z_][A-Za-z0-9_.-]*+[=:])"
 SECRET = r"^(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{16,}$"
 
-#: A value shorter than this identifies nobody.
-MIN_VALUE = 6
-#: A pattern is accepted at this confidence and with this many different trusted values.
-MIN_CONFIDENCE, MIN_SUPPORT = 0.9, 5
+
+@dataclass(frozen=True)
+class Limits:
+    """What a candidate and a pattern need.
+
+    A value of fewer than ``min_value`` characters identifies nobody. A pattern is accepted from
+    ``min_confidence`` on, if ``min_support`` different values in it are trusted.
+    """
+
+    min_value: int = 6
+    min_confidence: float = 0.9
+    min_support: int = 5
 
 
 def _luhn(digits: Column) -> Column:
@@ -64,18 +79,19 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _placed(text: Column, pattern: str) -> Column:
-    """Matches with their places: array of (start, end, match, before, after)."""
+def _placed(text: Column, pattern: str, context: bool = False) -> Column:
+    """Matches with their places: array of (start, end, match) and, as ``before``, the words since the match before, itself included."""
     def at(found: Column) -> Column:
         def build(parts: Column) -> Column:
             lengths = F.transform(found, lambda m, i: (F.length(F.get(parts, i)) + F.length(m)).cast("long"))
+            words = lambda i: F.split(F.concat(F.coalesce(F.get(found, i - 1), F.lit("")), F.get(parts, i)), r"\s+")
             return bind(
                 running_sum(lengths),
                 lambda ends: F.transform(
                     found,
                     lambda m, i: F.struct(
                         (F.get(ends, i) - F.length(m)).alias("start"), F.get(ends, i).alias("end"), m.alias("match"),
-                        F.substring(F.get(parts, i), -48, 48).alias("before"),
+                        *([words(i).alias("before")] if context else []),
                     ),
                 ),
             )
@@ -92,37 +108,42 @@ def _base_spans(text: Column, kind: str, hint: str, pattern: str) -> Column:
     return F.coalesce(F.when(text.rlike(hint), spans), none)
 
 
-def _candidates(text: Column) -> Column:
-    """Tokens with a digit: array of (start, end, pattern, value).
+def _candidates(text: Column, min_value: int) -> Column:
+    """Array of (start, end, pattern, value).
 
     A key and an equals sign or colon in front of the value, inside the token or before it,
     is the pattern; else it is the word before.
     """
-    inner = r"^([A-Za-z_.-]{1,40}[=:])"
-
     def one(x: Column) -> Column:
-        key = F.regexp_extract(x["match"], inner, 1)
+        key = F.regexp_extract(x["match"], KEY, 1)
         rest = F.substring(x["match"], F.length(key) + 1, F.length(x["match"]))
         lead = F.regexp_extract(rest, r"^([\"'(\[<{]*)", 1)
-        value = F.regexp_replace(F.substring(rest, F.length(lead) + 1, F.length(rest)), r"[\"')\]>},;.!?]+$", "")
-        outer = F.regexp_replace(F.regexp_extract(x["before"], r"(\S+\s+[=:]\s+|\S+\s+)$", 1), r"\s+", " ")
+        value = F.regexp_replace(F.substring(rest, F.length(lead) + 1, F.length(rest)), r"(?<![\"')\]>},;.!?])[\"')\]>},;.!?]++$", "")
+        # the words before end with an empty one, as whitespace stands before a token
+        word = lambda k: F.get(x["before"], F.size(x["before"]) - k)
+        outer = F.coalesce(
+            F.when(word(2).isin("=", ":") & (word(3) != ""), F.concat(word(3), F.lit(" "), word(2), F.lit(" "))),
+            F.concat(F.nullif(word(2), F.lit("")), F.lit(" ")), F.lit(""),
+        )
         start = x.start + F.length(key) + F.length(lead)
+        before = F.concat(F.when(key == "", outer).otherwise(key), lead)
         return F.struct(
             start.alias("start"), (start + F.length(value)).alias("end"),
-            F.lower(F.concat(F.when(key == "", outer).otherwise(key), lead)).alias("pattern"), value.alias("value"),
+            F.regexp_replace(F.lower(before), "[0-9]+", "0").alias("pattern"), value.alias("value"),
         )
 
-    found = F.transform(F.when(text.rlike("[0-9]"), _placed(text, TOKEN)), one)
+    found = F.transform(F.when(text.rlike("[0-9=:]"), _placed(text, TOKEN, True)), one)
     none = F.array().cast("array<struct<start:bigint,end:bigint,pattern:string,value:string>>")
-    return F.coalesce(F.filter(found, lambda x: (F.length(x.value) >= MIN_VALUE) & x.value.rlike("[0-9]")), none)
+    assigned = lambda x: x.pattern.rlike(r"[=:][ \"'(\[<{]*$")
+    return F.coalesce(F.filter(found, lambda x: (F.length(x.value) >= min_value) & (x.value.rlike("[0-9]") | assigned(x))), none)
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """One pass over the texts: a row id, doc_id, base spans by kind, and candidates."""
     text = F.col("t")
     return docs.select(F.col("doc_id").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("t")).select(
         F.monotonically_increasing_id().alias("row"), "doc_id",
-        *[_base_spans(text, *b).alias(b[0]) for b in BASE], _candidates(text).alias("candidates"),
+        *[_base_spans(text, *b).alias(b[0]) for b in BASE], _candidates(text, limits.min_value).alias("candidates"),
     )
 
 
@@ -139,7 +160,7 @@ def labelled(scanned: DataFrame) -> DataFrame:
     return scanned.select("row", F.explode(seeds).alias("c")).select("row", "c.*")
 
 
-def learn(tokens: DataFrame) -> DataFrame:
+def learn(tokens: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """(pattern, kind, confidence) of accepted patterns, from (pattern, value, kind) tokens.
 
     Occurrences are counted by pattern, value and kind before anything else moves.
@@ -151,17 +172,17 @@ def learn(tokens: DataFrame) -> DataFrame:
     trusted = cut(edges.where("kind IS NOT NULL").groupBy("value", "kind").agg(F.lit(1.0).alias("trust")))
     spread = cut(edges.groupBy("pattern", "value").agg(F.sum("n").alias("n")))
     while True:
-        votes = spread.join(trusted, "value").groupBy("pattern", "kind").agg(
+        votes = lookup(spread, trusted, "value", trusted.count()).groupBy("pattern", "kind").agg(
             F.sum(F.col("n") * F.col("trust")).alias("weight"), F.count(F.lit(1)).alias("support")
         )
         # the counts are exact below 2^53, and a confidence is rounded, so the order of a sum changes nothing
         accepted = cut(
-            votes.where(F.col("support") >= MIN_SUPPORT)
+            votes.where(F.col("support") >= limits.min_support)
             .join(totals, "pattern")
             .select("pattern", "kind", F.round(F.col("weight") / F.col("total"), 9).alias("confidence"))
-            .where(F.col("confidence") >= MIN_CONFIDENCE)
+            .where(F.col("confidence") >= limits.min_confidence)
         )
-        found = spread.join(accepted, "pattern").select("value", "kind", F.col("confidence").alias("trust"))
+        found = lookup(spread, accepted, "pattern", accepted.count()).select("value", "kind", F.col("confidence").alias("trust"))
         risen = cut(trusted.union(found).groupBy("value", "kind").agg(F.max("trust").alias("trust")))
         # patterns depend on trust alone, so trust that stays keeps them too
         if risen.join(trusted, ["value", "kind", "trust"], "left_anti").isEmpty():
@@ -170,14 +191,14 @@ def learn(tokens: DataFrame) -> DataFrame:
     return accepted
 
 
-def spans(docs: DataFrame) -> DataFrame:
+def spans(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """row, doc_id, base spans by kind, and ``added``: (kind, start, end) found by context."""
-    scanned = cut(scan(docs))
+    scanned = cut(scan(docs, limits))
     tokens = cut(labelled(scanned))
-    accepted = learn(tokens)
-    best = cut(accepted.groupBy("pattern").agg(F.max_by("kind", "confidence").alias("found")))
+    accepted = learn(tokens, limits)
+    best = cut(accepted.groupBy("pattern").agg(F.min_by("kind", F.struct(-F.col("confidence"), "kind")).alias("found")))
     rows = best.count()
-    unseen = tokens.where("kind IS NULL").join(small(best, rows), "pattern").select("row", F.col("found").alias("kind"), "start", "end")
+    unseen = lookup(tokens.where("kind IS NULL"), best, "pattern", rows).select("row", F.col("found").alias("kind"), "start", "end")
     secrets = tokens.where("kind = 'secret'").select("row", "kind", "start", "end")
     added = cut(unseen.union(secrets).groupBy("row").agg(F.array_sort(F.collect_set(F.struct("kind", "start", "end"))).alias("added")))
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
@@ -188,17 +209,19 @@ def _joined(kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda s: F.concat_ws(":", F.lit(kind), s.start.cast("string"), s.end.cast("string")))
 
 
-def op7_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, counts by kind, base_sha256 and spans; one row per document."""
-    found = spans(docs)
+def op7_rows(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """doc_id, counts by kind, base_sha256, spans, n_secret and n_spans; one row per document."""
+    found = spans(docs, limits)
     base = F.array_join(F.concat(*[_joined(k, F.col(k)) for k, _, _ in BASE]), ",")
     more = lambda k: F.transform(
         F.filter("added", lambda x: x.kind == k), lambda x: F.struct(x.start.alias("start"), x.end.alias("end"))
     )
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    every = [(k, F.array_sort(F.concat(F.col(k) if k != "secret" else none, more(k)))) for k in KINDS]
+    every = [(k, F.sort_array(F.concat(F.col(k) if k != "secret" else none, more(k)))) for k in KINDS]
     return found.select(
         "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k, _, _ in BASE],
         F.sha2(F.encode(base, "UTF-8"), 256).alias("base_sha256"),
         F.array_join(F.concat(*[_joined(k, s) for k, s in every]), ",").alias("spans"),
+        F.size(more("secret")).cast("long").alias("n_secret"),
+        (sum((F.size(k) for k, _, _ in BASE), F.size("added"))).cast("long").alias("n_spans"),
     )
