@@ -43,6 +43,8 @@ KINDS = (*(kind for kind, _, _ in BASE), "secret")
 #: A token with a digit, one with a key of its own, or one behind a key and a space.
 TOKEN = r"(?<!\S)(?:[^\s0-9]*+[0-9]\S*+|[A-Za-z_][A-Za-z0-9_.-]*+[=:]\S++|(?<=[=:]\s)\S++)"
 KEY = r"^([A-Za-z_][A-Za-z0-9_.-]*+[=:])"
+#: What may follow a value: punctuation but for that inside names and codes.
+TAIL = r"(?<![\"'()\[\]<>{},;.!?#*|$%&~^`\\])[\"'()\[\]<>{},;.!?#*|$%&~^`\\]++$"
 SECRET = r"^(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{16,}$"
 
 
@@ -118,7 +120,7 @@ def _candidates(text: Column, min_value: int) -> Column:
         key = F.regexp_extract(x["match"], KEY, 1)
         rest = F.substring(x["match"], F.length(key) + 1, F.length(x["match"]))
         lead = F.regexp_extract(rest, r"^([\"'(\[<{]*)", 1)
-        value = F.regexp_replace(F.substring(rest, F.length(lead) + 1, F.length(rest)), r"(?<![\"')\]>},;.!?])[\"')\]>},;.!?]++$", "")
+        value = F.regexp_replace(F.substring(rest, F.length(lead) + 1, F.length(rest)), TAIL, "")
         # the words before end with an empty one, as whitespace stands before a token
         word = lambda k: F.get(x["before"], F.size(x["before"]) - k)
         outer = F.coalesce(
