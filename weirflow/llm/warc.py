@@ -11,8 +11,8 @@ Of records with equal payloads of at least ``min_bytes``, the one with the large
 
 Defined results: null html is an empty payload; a null url is written as an empty target; equal
 page_ids that tie for the largest are all responses; if a group's page_ids are all null,
-all its records are responses; repeated rows give repeated records; an empty table gives an
-empty archive; other columns are not kept.
+all its records are responses; repeated rows give repeated records; a very long payload is one value, as in the
+table; an empty table gives an empty archive; other columns are not kept and may have any name.
 """
 
 from __future__ import annotations
@@ -22,9 +22,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm._common import checkpoint_path, cut
+from weirflow.llm._common import checkpoint_path, cut, lookup
 
 MIN_BYTES = 1000
+#: Groups of copies are broadcast below this many rows of some 100 bytes.
+BROADCAST_GROUPS = 50_000
 CRLF = "\r\n"
 
 
@@ -73,27 +75,25 @@ def write(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES) -> None:
         )
     )
     # groups of copies only: a payload that stands alone needs no join
-    groups = cut(
-        light.where(F.col("bytes") >= min_bytes)
-        .groupBy("digest")
-        .agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-        .select("digest", "first_id")
-    )
-    kind = F.when(
-        F.col("first_id").isNull() | F.col("page_id").eqNullSafe(F.col("first_id")), F.lit("response")
-    ).otherwise(F.lit("revisit"))
-    headed = light.join(groups, "digest", "left").withColumn("kind", kind)
+    copies = light.groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    groups = cut(copies)
+    rows = groups.count()
+    revisits = (F.col("bytes") >= min_bytes) & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
+    kind = F.when(revisits, F.lit("revisit")).otherwise(F.lit("response"))
+    headed = lookup(light, groups, "digest", rows, "left", BROADCAST_GROUPS).withColumn("kind", kind)
     headed.select(
-        "page_id", "digest", F.encode(_header(F.col("kind")), "UTF-8").alias("header")
+        "page_id", F.unhex("digest").alias("digest"), F.encode(_header(F.col("kind")), "UTF-8").alias("header")
     ).write.parquet(f"{path}/headers")
 
-    # one row of each digest carries the payload: the copies are dropped before the bytes move
-    once = records.withColumn("digest", _digest(F.col("payload"))).select("digest", "payload", "page_id")
-    alone = once.join(groups, "digest", "left").where(
-        F.col("first_id").isNull() | F.col("page_id").eqNullSafe(F.col("first_id"))
-    )
-    alone.select("digest", "payload").dropDuplicates(["digest"]).write.parquet(f"{path}/payloads")
+    # one record of each digest carries the payload; where groups are sent out, no payload moves for that
+    carried = records.withColumn("digest", _digest(F.col("payload"))).select("digest", "payload", "page_id")
+    marked = lookup(carried, groups, "digest", rows, "left", BROADCAST_GROUPS)
+    first = F.col("copies").isNotNull() & F.col("page_id").eqNullSafe(F.col("first_id"))
+    stored = marked.where(F.col("copies").isNull() | first)
+    if not light.groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        # pages that share the largest id: one of them is taken
+        stored = marked.where(F.col("copies").isNull()).union(marked.where(first).dropDuplicates(["digest"]))
+    stored.select(F.unhex("digest").alias("digest"), "payload").write.parquet(f"{path}/payloads")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -104,8 +104,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     stored = spark.read.parquet(f"{path}/payloads")
     checked = stored.select(
         "digest",
-        F.when(_digest(F.col("payload")) == F.col("digest"), F.col("payload"))
-        .otherwise(F.raise_error(F.concat(F.lit("payload does not match its digest: "), "digest")).cast("binary"))
+        F.when(F.unhex(_digest(F.col("payload"))) == F.col("digest"), F.col("payload"))
+        .otherwise(F.raise_error(F.concat(F.lit("payload does not match its digest: "), F.hex("digest"))).cast("binary"))
         .alias("payload"),
     )
     headers = spark.read.parquet(f"{path}/headers")
