@@ -8,7 +8,9 @@ count. Both can be computed, and inverted, from a row number, the seed and N alo
 The ``rows`` law holds: shard counts differ by one at most.
 
 Defined results: a null text is 0 bytes; rows with equal id and text are interchangeable and
-each gets a place of its own; an empty table gives an empty result.
+each gets a place of its own, however many there are; a very long text is only measured and
+summed; other columns are not looked at and may have the names of the result's; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,6 +24,10 @@ from weirflow.llm._common import bind, cut
 
 #: Rows are numbered within this many hash buckets; only their counts are ever scanned in order.
 BUCKETS = 4096
+#: Documents are numbered in as many buckets as hold so many each, up to a number whose counts the driver holds.
+ROWS_PER_BUCKET, MAX_BUCKETS = 100_000, 65_536
+#: Equal rows get their numbers in pieces of this many.
+PIECE = 65_536
 ROUNDS = 6
 #: Under 1/sqrt(N) of the rectangle lies outside, so a walk this long is not met in practice.
 WALK = 64
@@ -99,6 +105,36 @@ def number(df: DataFrame, key: list[str], order: list[str], out: str = "row") ->
     return frozen.withColumn(out, within + start).drop("_bucket"), rows
 
 
+def _row_numbers(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, int]:
+    """``columns`` and a global ``row`` from 0 of every row, and the number of rows.
+
+    Equal rows are counted, not moved: one row for each stands in a bucket, and its numbers are
+    made again in pieces. Numbers follow from the rows alone, so a lost task changes none.
+    """
+    counted = cut(rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")))
+    buckets = 64
+    while buckets < MAX_BUCKETS and buckets * ROWS_PER_BUCKET < counted.count():
+        buckets *= 2
+    dealt = counted.withColumn("_bucket", F.pmod(F.xxhash64(*columns), F.lit(buckets)).cast("int"))
+    sums = sorted(tuple(r) for r in dealt.groupBy("_bucket").agg(F.sum("n"), F.max("n")).collect())
+    starts, total = [], 0
+    for bucket, n, _ in sums:
+        starts.append((bucket, total))
+        total += n
+    start = F.broadcast(rows.sparkSession.createDataFrame(starts, "_bucket int, _start long"))
+    before = Window.partitionBy("_bucket").orderBy(*columns).rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long"))).join(start, "_bucket")
+    first, n, size = F.col("_start") + F.col("_before"), F.col("n"), F.lit(PIECE).cast("long")
+    pieces = F.transform(
+        F.sequence(F.lit(0).cast("long"), _div(n - 1, size)),
+        lambda k: F.struct((first + k * size).alias("lo"), F.least(first + (k + 1) * size, first + n).alias("hi")),
+    )
+    piece = placed.select(*columns, F.explode(pieces).alias("x")).select(*columns, "x.lo", "x.hi")
+    if max((m for _, _, m in sums), default=0) > PIECE:
+        piece = piece.repartition(*columns, "lo")
+    return piece.select(*columns, F.explode(F.sequence("lo", F.col("hi") - 1)).alias("row")), total
+
+
 def shard(docs: DataFrame, shards: int = 24, seed: int = 0) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard; one row per document."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -107,7 +143,7 @@ def shard(docs: DataFrame, shards: int = 24, seed: int = 0) -> DataFrame:
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).cast("long").alias("text_crc32"),
     )
-    numbered, rows = number(light, ["doc_id", "text_crc32", "size"], ["doc_id", "text_crc32", "size"])
+    numbered, rows = _row_numbers(light, ["doc_id", "text_crc32", "size"])
     placed = numbered.withColumn("_place", permute(F.col("row"), rows, seed))
     n = F.lit(shards).cast("long")
     return placed.select(
