@@ -65,9 +65,17 @@ def test_joined_instead_of_broadcast(docs, items, monkeypatch):
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha x beta gamma"), (2, "alpha beta gamma"), (3, "gamma y y y y alpha beta"), (4, "beta alpha gamma")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
-    near = {r.doc_id: [f.exact for f in r.found] for r in decontam.matches(docs, items, slop=1).collect()}
+    near = {r.doc_id: [f.exact for f in r.found] for r in decontam.matches(docs, decontam.item_windows(items), slop=1).collect()}
     assert set(near) == {1, 2, 4} and any(near[2]) and not any(near[1]) and not any(near[4])
-    assert {r.doc_id for r in decontam.matches(docs, items).collect()} == {2}
+    assert {r.doc_id for r in decontam.matches(docs, decontam.item_windows(items)).collect()} == {2}
+
+
+def test_a_window_that_many_items_and_documents_share(spark):
+    common = "one two three four five six seven eight"
+    docs = [(i, f"w{i} " * (i % 5) + common + " tail" * (i % 3)) for i in range(60)]
+    items = [(i, f"x{i} {common}") for i in range(150)] + [(500, common), (501, "w3 " * 8)]
+    got = decontam.op6_rows(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(docs, items)
 
 
 def test_empty_tables_and_dropping(docs, no_docs, items):

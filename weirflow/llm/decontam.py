@@ -8,12 +8,15 @@ lists name is a candidate, and the document's own words decide it. With ``slop``
 rarest term names the starts, and a window also matches where every term stands within
 ``slop`` words of its place.
 
-Everything is keyed by document, so a passage that many documents share makes no hot key.
+Matches are keyed by document, so a passage that many documents share makes no hot key there.
+The postings of a frequent term share a key: they are joined with the broadcast terms while
+those are few, and beyond that by two plain exchanges, which adaptive execution splits. Which
+items hold a window is only looked up for the windows that a document holds.
 
 Defined results: null text has no words; a null or wordless item has no window; a null item_id
 reads as an empty string; items that share an id count once; rows that share doc_id but not
-text are told apart by a hash of the text; repeated rows give repeated results; empty tables
-give no hits or no rows; other columns are not looked at.
+text are told apart by a hash of the text; repeated rows give repeated results; very long texts
+are indexed whole; empty tables give no hits or no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm._common import cut, small, text_key, words
+from weirflow.llm._common import cut, lookup, small, text_key, words
 
 WIDTH = 8
 #: Ids of documents are broadcast below this many rows of two longs; beyond it they are joined.
@@ -42,17 +45,15 @@ def fold(word: Column) -> Column:
     return F.translate(word, UPPER, LOWER)
 
 
-def windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(wid, terms, items): the distinct windows, and the ids of the items that hold each."""
+def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(wid, terms, item): the windows of every item, each once."""
     t = F.col("t")
     starts = F.when(F.size(t) >= width, F.sequence(F.lit(0), F.size(t) - width)).when(F.size(t) > 0, F.array(F.lit(0)))
     folded = benchmark.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), tokens(fold(F.col("text"))).alias("t")
     )
     cuts = folded.select("item", F.explode(F.transform(starts, lambda i: F.slice(t, i + 1, width))).alias("terms"))
-    return cuts.groupBy("terms").agg(F.array_sort(F.collect_set("item")).alias("items")).select(
-        F.md5(F.concat_ws(" ", "terms")).alias("wid"), "terms", "items"
-    )
+    return cuts.withColumn("wid", F.unhex(F.md5(F.concat_ws(" ", "terms")))).dropDuplicates(["wid", "item"])
 
 
 def _matching(tokens_table: DataFrame, terms: DataFrame, rows: int) -> DataFrame:
@@ -80,13 +81,14 @@ def postings(docs: DataFrame, terms: DataFrame, rows: int) -> DataFrame:
     return _matching(stream, terms, rows)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, slop: int = 0) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, slop: int = 0) -> DataFrame:
     """(doc_id, key, n, found): for documents with a match, the word count and its matches.
 
-    ``found`` is an array of (start, length, exact, items). ``key`` is a hash of the text.
+    ``items`` are the windows of ``item_windows``. ``found`` is an array of (start, length,
+    exact, wid). ``key`` is a hash of the text.
     """
     docs = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
-    wins = cut(windows(benchmark, width))
+    wins = cut(items.select("wid", "terms").dropDuplicates(["wid"]))
     placed = wins.select("wid", F.size("terms").alias("len"), F.posexplode("terms").alias("off", "term"))
     vocabulary = cut(placed.select("term").distinct())
     counts = cut(term_counts(docs, vocabulary, vocabulary.count()))
@@ -117,7 +119,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, slop: int
     by_doc = cut(
         agreed.join(small(wins, n_windows), "wid")
         .groupBy("doc_id", "key")
-        .agg(F.collect_list(F.struct("start", "terms", "items")).alias("c"))
+        .agg(F.collect_list(F.struct("start", "terms", "wid")).alias("c"))
     )
     ids = by_doc.select(F.col("doc_id").alias("d"), F.col("key").alias("k"))
     n_ids = ids.count()
@@ -141,7 +143,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, slop: int
     found = F.transform(
         F.filter("c", near if slop else exact),
         lambda x: F.struct(
-            x.start.alias("start"), span(x).alias("length"), (exact(x) if slop else F.lit(True)).alias("exact"), x["items"].alias("items")
+            x.start.alias("start"), span(x).alias("length"), (exact(x) if slop else F.lit(True)).alias("exact"), x.wid.alias("wid")
         ),
     )
     # frozen, or the filter would look for the matches a second time
@@ -152,29 +154,34 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, slop: int
 def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, key, n_hit, items): hit words and the sorted ids of matched items, for documents with a match."""
     inside = F.flatten(F.transform("found", lambda x: F.sequence(x.start, x.start + x.length - 1)))
-    return matches(docs, benchmark, width).select(
-        "doc_id", "key",
-        F.size(F.array_distinct(inside)).cast("long").alias("n_hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda x: x["items"])))).alias("items"),
+    windows = cut(item_windows(benchmark, width))
+    found = cut(
+        matches(docs, windows).select(
+            "doc_id", "key", F.size(F.array_distinct(inside)).cast("long").alias("n_hit"),
+            F.array_distinct(F.transform("found", lambda x: x.wid)).alias("wids"),
+        )
     )
+    held = cut(found.select("doc_id", "key", "n_hit", F.explode("wids").alias("wid")))
+    named = lookup(held, windows.select("wid", "item"), "wid", windows.count())
+    return named.groupBy("doc_id", "key", "n_hit").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
 def op6_rows(docs: DataFrame, benchmark: DataFrame, min_items: int = 2) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated; one row per document."""
-    found = cut(hits(docs, benchmark))
-    rows = found.count()
-    found = small(found.withColumnsRenamed({"doc_id": "d", "key": "k"}), rows)
+    sha = lambda items: F.sha2(F.encode(F.array_join(items, ","), "UTF-8"), 256)
+    found = hits(docs, benchmark).select("doc_id", "key", "n_hit", F.size("items").cast("long").alias("n_items"), sha(F.col("items")).alias("items_sha256"))
+    found = cut(found.withColumnsRenamed({"doc_id": "d", "key": "k"}))
+    found = small(found, found.count())
     light = docs.select(
         F.col("doc_id").alias("doc_id"), text_key(F.col("text")).alias("key"),
         F.size(tokens(F.col("text"))).cast("long").alias("n_words"),
     )
     joined = light.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
-    items = F.coalesce("items", F.array().cast("array<string>"))
+    zero = F.lit(0).cast("long")
     return joined.select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
-        F.size(items).cast("long").alias("n_items"),
-        F.sha2(F.encode(F.array_join(items, ","), "UTF-8"), 256).alias("items_sha256"),
-        (F.size(items) >= min_items).alias("contaminated"),
+        "doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"),
+        F.coalesce("items_sha256", sha(F.array().cast("array<string>"))).alias("items_sha256"),
+        (F.coalesce("n_items", zero) >= min_items).alias("contaminated"),
     )
 
 
