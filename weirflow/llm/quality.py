@@ -210,3 +210,12 @@ m AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & 3 <> 0 AS base_failed, failures = 0 AS kept, failures FROM f
 """
+
+#: The ablations of policy v1 as SQL, over the masks of op3.
+ORACLE_ABLATIONS = f"""
+WITH m AS (SELECT failures FROM ({ORACLE})),
+rules AS (SELECT unnest({list(RULES)}) AS rule, unnest({[1 << i for i in range(len(RULES))]}) AS bit)
+SELECT rule, count(*) FILTER (failures & bit <> 0) AS n_failed, count(*) FILTER (failures = bit) AS n_only,
+       count(*) FILTER (failures = 0 OR failures = bit) AS n_kept_without, bit_or(failures) AS seen_with
+FROM m, rules GROUP BY rule
+"""

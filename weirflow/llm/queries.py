@@ -24,6 +24,8 @@ def queries() -> dict[str, Query]:
         "op8_chat": lambda s, d: chat.op8_rows(chat.with_probe(read(s, d, "conversations"))),
         "op9_line_dedup": lambda s, d: line_dedup.op9_rows(read(s, d, "documents")),
         "op10_urls": lambda s, d: urls.judge(read(s, d, "pages")),
+        "url_aliases": lambda s, d: urls.judge(read(s, d, "pages"), urls.chained(read(s, d, "pages"))),
+        "quality_ablations": lambda s, d: quality.ablations(quality.ledger(read(s, d, "documents"))),
     }
 
 
@@ -36,4 +38,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_chat": chat.ORACLE,
         "op9_line_dedup": line_dedup.ORACLE,
         "op10_urls": urls.ORACLE,
+        "url_aliases": urls.ORACLE_CHAINED,
+        "quality_ablations": quality.ORACLE_ABLATIONS,
     }

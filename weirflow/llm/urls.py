@@ -7,13 +7,15 @@ ruled urls to aliases without a rule. An explicit allow goes first: a url's own
 overridden, and a component that holds an explicitly allowed url passes no block on.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule,
-has no aliases and is allowed; targets are resolved against the page's url; repeated rows each get the verdict; an empty table gives an
-empty result; null html or one without links gives no edge.
+has no aliases and is allowed; targets are resolved against the page's url; of rules that are
+equally long the first by name decides; repeated rows each get the verdict; a very long url is
+compared whole; other columns are not looked at and may have the names of the result's; an empty
+table gives an empty result; null html or one without links gives no edge.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirflow.llm._common import cut
@@ -175,10 +177,18 @@ def judge(pages: DataFrame, redirects: DataFrame | None = None, rules=RULES) ->
     )
 
 
+def chained(pages: DataFrame, length: int = 5) -> DataFrame:
+    """(src, dst): redirects that chain the distinct urls of every ``length`` neighbouring page ids."""
+    node = node_of(F.col("url"))
+    least = pages.where(node.isNotNull()).groupBy(node.alias("src")).agg(F.min("page_id").alias("i"))
+    order = Window.partitionBy(F.floor(F.col("i") / length)).orderBy("i", "src")
+    return least.select("src", F.lag("src").over(order).alias("dst")).where("dst IS NOT NULL")
+
+
 #: op10 as SQL, for pages that name no alias.
 ORACLE = r"""
 WITH u AS (
-  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  SELECT page_id, url, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
   FROM pages
 ), r AS (
@@ -192,3 +202,19 @@ WITH u AS (
 )
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' ELSE 'allow' END AS verdict FROM r
 """
+
+#: The same with the redirects of ``chained``, for pages that name no alias: a chain is a component.
+ORACLE_CHAINED = ORACLE.rpartition("SELECT page_id, host, path, rule")[0].rstrip() + r"""
+, own AS (
+  SELECT *, CASE WHEN rule IS NULL THEN NULL WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' ELSE 'allow' END AS verdict,
+    CASE WHEN host <> '' THEN regexp_extract(translate(regexp_extract(regexp_replace(url, '(?s)#.*$', ''), '(?s)^(.*?://[^/?#]*)', 1),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(?s).*') ||
+      regexp_extract(regexp_replace(url, '(?s)#.*$', ''), '(?s)^.*?://[^/?#]*(.*)$', 1) END AS node
+  FROM r
+), chain AS (SELECT node, min(page_id) // 5 AS label FROM own WHERE node IS NOT NULL GROUP BY node),
+passed AS (
+  SELECT label, bool_or(verdict = 'block') AND NOT coalesce(bool_or(verdict = 'allow'), false) AS blocked FROM own JOIN chain USING (node) GROUP BY label
+)
+SELECT page_id, host, path, rule, CASE WHEN verdict IS NOT NULL THEN verdict WHEN blocked THEN 'block' ELSE 'allow' END AS verdict
+FROM own LEFT JOIN chain USING (node) LEFT JOIN passed USING (label)
+"""
