@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -44,6 +45,21 @@ def test_embedding_counts_code_points(spark):
     assert row[1].embedding == [0.0] * 8
 
 
+def test_hashing_equals_its_definition(spark):
+    # published values of MurmurHash3 x86 32 with seed 0
+    assert [int(x) & 0xFFFFFFFF for x in text_features.murmur3([b"", b"hello", b"hello, world", b"abc", b"The quick brown fox jumps over the lazy dog"])] == [0, 0x248BFA47, 0x149BBB7F, 0xB3DD93FA, 0x2E4FF723]
+    texts = [*TEXTS, "", "no", "Übergrößen größer als zuvor, größer", "x"]
+    for n in (4, 4096):
+        got = text_features.hashing_vectorizer(spark.createDataFrame(list(enumerate(texts)), "row_id int, text string"), n_features=n).collect()
+        for r in got:
+            want = [0.0] * n
+            for word in re.findall(r"\b\w\w+\b", texts[r.row_id].lower()):
+                h = int(text_features.murmur3([word.encode()])[0])
+                want[abs(h) % n] += 1 if h >= 0 else -1
+            length = math.sqrt(sum(x * x for x in want)) or 1
+            assert list(r.features.toArray()) == pytest.approx([x / length for x in want])
+
+
 def test_hashing_has_unit_length(spark):
     rows = text_features.hashing_vectorizer(spark.createDataFrame([(t,) for t in TEXTS], "text string"), n_features=64).collect()
     assert all(r.features.size == 64 and r.features.norm(2) == pytest.approx(1) for r in rows)

@@ -59,6 +59,9 @@ def test_incremental_fetch_and_frames(spark):
     assert [r["id"] for r in first.records] == [1, 2] and state == {"http://h/r": 9}
     assert [r["id"] for r in fetch.acquire(p, state, get).records] == [4] and state == {"http://h/r": 12}
     assert sorted((r.id, r.t) for r in first.frame(spark).collect()) == [(1, 5), (2, 9)]
+    later = fetch.Acquired(({"id": 1}, {"id": 2, "tag": "x"}, {"id": 2.5}), 1, None)
+    assert sorted((r.id, r.tag) for r in later.frame(spark).collect()) == [(1.0, None), (2.0, "x"), (2.5, None)]
+    assert fetch.Acquired((), 1, None).frame(spark).count() == 0
     fresh, cursor = fetch.incremental(spark.range(10), "id", 6)
     assert fresh.count() == 3 and cursor.first().cursor == 9
     assert fetch.incremental(spark.range(0), "id", 6)[1].first().cursor == 6
@@ -80,8 +83,29 @@ def test_transcripts(spark):
     bad = spark.createDataFrame([("r", [{"start": 0.0, "end": 1.0, "text": None}])], f"k string, segments {media.SEGMENTS}")
     with pytest.raises(Exception, match="text is required"):
         media.asr_merge(bad, "k").collect()
-    assert media.remove_overlaps([(0, 2, None), (1, 3, None)]) == [(0, 2, None), (2, 3, None)]
-    assert media.shared_words("a b C.", "c, d") == 1
+
+
+@pytest.mark.parametrize(
+    "given, want",
+    [
+        ([], []),
+        ([(0, 2, None), (1, 3, None)], [(0, 2, None), (2, 3, None)]),
+        ([(0, 1, "a b C."), (1, 2, "c, d")], [(0, 1, "a b C."), (1, 2, "d")]),
+        ([(0, 1, "Straße ΟΔΟΣ"), (1, 2, "STRASSE οδοσ!  and  more")], [(0, 1, "Straße ΟΔΟΣ"), (1, 2, "and more")]),
+        # the longest run counts, and what is left of a segment is compared with the next
+        ([(0, 1, "x y x y"), (1, 2, "x y z"), (2, 3, "z w")], [(0, 1, "x y x y"), (1, 2, "z"), (2, 3, "w")]),
+        ([(0, 1, "x y"), (1, 2, "X, Y."), (2, 3, "y q")], [(0, 1, "x y"), (2, 3, "q")]),
+        ([(5, 6, "later"), (0, 5.5, "first")], [(0, 5.5, "first"), (5.5, 6, "later")]),
+        ([(0, 4, "long"), (1, 3, "inside"), (1, None, "open"), (2, 5, "on")], [(0, 4, "long"), (4, None, "open"), (1, 3, "inside"), (3, 5, "on")]),
+        ([(1, 2, "b one"), (1, 2, "a two")], [(1, 2, "b one")]),
+        ([(None, 3, "no start"), (1, 2, None), (3, 4, "  spaced   out ")], [(None, 3, "no start"), (3, 4, "spaced out")]),
+        ([(0, 1, "say"), (1, 2, ""), (2, 3, "more")], [(0, 1, "say"), (2, 3, "more")]),
+    ],
+)
+def test_overlaps_of_segments(spark, given, want):
+    real = lambda rows: [(None if a is None else float(a), None if b is None else float(b), t) for a, b, t in rows]
+    df = spark.createDataFrame([("k", real(given))], f"k string, segments {media.SEGMENTS}")
+    assert [tuple(x) for x in media.overlap_remove(df, "k").first().segments] == real(want)
 
 
 def fake_tool(args):

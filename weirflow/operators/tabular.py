@@ -212,9 +212,12 @@ def dedup(df: DataFrame, params, order: Sequence[str] = ()) -> DataFrame:
     p = Dedup.of(params)
     key = p.subset or tuple(c for c in df.columns if c not in order)
     _need_columns(df, key)
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    keys = [F.col(c).alias(f"_k{i}") for i, c in enumerate(key)]
     if p.keep == "none":
-        once = Window.partitionBy(*key)
-        return df.withColumn("_n", F.count(F.lit(1)).over(once)).where("_n = 1").drop("_n")
+        # a key that repeats within a task is one row before the shuffle
+        counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.any_value(row).alias("_row"))
+        return counted.where("_n = 1").select("_row.*")
     if not order:
         if set(key) != set(df.columns):
             raise ContractError("keeping the first or last row needs an order")
@@ -222,9 +225,8 @@ def dedup(df: DataFrame, params, order: Sequence[str] = ()) -> DataFrame:
     _need_columns(df, order)
     # an extreme per key is kept before the shuffle, where a window would move every row
     place = F.struct(*[F.col(c) for c in order])
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     pick = F.min_by(row, place) if p.keep == "first" else F.max_by(row, place)
-    return df.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)]).agg(pick.alias("_row")).select("_row.*")
+    return df.groupBy(*keys).agg(pick.alias("_row")).select("_row.*")
 
 
 def _apart(left: DataFrame, right: DataFrame, on: Sequence[str], suffix: str, drop: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:

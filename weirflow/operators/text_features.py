@@ -5,12 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import HashingTF, Normalizer
+import numpy as np
+import pandas as pd
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.contracts import ContractError
-from weirflow.functions.scalars import bind, cosine, norm, sigmoid
+from weirflow.functions.scalars import cosine, sigmoid
 
 #: A word of a text: two word characters or more.
 WORD = r"(?U)\b\w\w+\b"
@@ -56,33 +58,73 @@ def tfidf(df: DataFrame, id_col: str = "row_id", text_col: str = "text", max_fea
     return raw.join(lengths, "id").select(F.col("id").alias(id_col), "term", "tf", (F.col("raw") / F.col("length")).alias("weight"))
 
 
+def murmur3(words: Sequence[bytes]) -> np.ndarray:
+    """The published 32-bit hash MurmurHash3 x86 with seed 0, signed, of many words at once."""
+    out = np.zeros(len(words), np.uint32)
+    sizes = np.array([len(w) for w in words])
+    c1, c2 = np.uint32(0xCC9E2D51), np.uint32(0x1B873593)
+    rotated = lambda x, r: (x << np.uint32(r)) | (x >> np.uint32(32 - r))
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        whole = -(-int(size) // 4) * 4
+        table = np.frombuffer(b"".join(words[i].ljust(whole, b"\0") for i in at), "<u4").reshape(len(at), whole // 4)
+        h = np.zeros(len(at), np.uint32)
+        for n, block in enumerate(table.T):
+            k = rotated(block * c1, 15) * c2
+            h ^= k
+            if 4 * (n + 1) <= size:
+                h = rotated(h, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+        h ^= np.uint32(size)
+        h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+        h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+        out[at] = h ^ (h >> np.uint32(16))
+    return out.astype(np.int32)
+
+
 def hashing_vectorizer(df: DataFrame, text_col: str = "text", n_features: int = 4096, output: str = "features", **options) -> DataFrame:
-    """Term counts hashed into ``n_features`` slots, each row of length 1."""
-    with_words = df.withColumn("_words", tokens(F.coalesce(F.col(text_col), F.lit("")), **options))
-    counted = HashingTF(numFeatures=n_features, inputCol="_words", outputCol="_counts").transform(with_words)
-    return Normalizer(p=2.0, inputCol="_counts", outputCol=output).transform(counted).drop("_words", "_counts")
+    """Term counts hashed into ``n_features`` slots, each row of length 1.
+
+    A term's slot is the absolute value of its hash modulo the slots; where the hash is
+    negative it counts -1, so that terms which share a slot tend to cancel out.
+    """
+
+    @F.pandas_udf("struct<i:array<int>,v:array<double>>")
+    def hashed(rows: pd.Series) -> pd.DataFrame:
+        sizes = [len(r) for r in rows]
+        code, terms = pd.factorize(np.concatenate([*rows, np.array([], object)]))
+        h = murmur3([t.encode() for t in terms]).astype(np.int64)
+        slot, sign = np.abs(h) % n_features, np.where(h >= 0, 1.0, -1.0)
+        indices, values = [], []
+        for at in np.split(code, np.cumsum(sizes)[:-1]):
+            found, back = np.unique(slot[at], return_inverse=True)
+            v = np.bincount(back, weights=sign[at], minlength=len(found))
+            found, v = found[v != 0], v[v != 0]
+            indices.append(found.astype(np.int32))
+            values.append(v / np.sqrt(v @ v) if len(v) else v)
+        return pd.DataFrame({"i": indices, "v": values})
+
+    vector = F.udf(lambda x: SparseVector(n_features, x.i, x.v), VectorUDT())
+    return df.withColumn(output, vector(hashed(tokens(F.coalesce(F.col(text_col), F.lit("")), **options))))
 
 
 def embedding(df: DataFrame, text_col: str = "text", dimensions: int = 16, output: str = "embedding") -> DataFrame:
     """Counts of a text's lower-case characters by code point modulo ``dimensions``, of length 1.
 
-    One pass over a text: its characters are taken to slots, and each slot counts its own.
+    Arrow batches: counting into slots has no array function that passes a text once.
     """
     if dimensions < 1:
         raise ContractError("dimensions must be positive")
-    slots = F.transform(
-        F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), ""), lambda c: c != ""),
-        lambda c: F.pmod(F.ascii(c), F.lit(dimensions)),
-    )
-    every = F.sequence(F.lit(0), F.lit(dimensions - 1))
 
-    def counts(found: Column) -> Column:
-        return F.transform(every, lambda k: (F.size(found) - F.size(F.array_remove(found, k))).cast("double"))
+    @F.pandas_udf("array<double>")
+    def counted(texts: pd.Series) -> pd.Series:
+        def one(utf32: bytes) -> np.ndarray:
+            v = np.bincount(np.frombuffer(utf32, ">u4") % dimensions, minlength=dimensions).astype(float)
+            n = np.sqrt(v @ v)
+            return v / n if n else v
 
-    def unit(v: Column) -> Column:
-        return bind(norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0))))
+        return texts.map(one)
 
-    return df.withColumn(output, bind(slots, lambda found: bind(counts(found), unit)))
+    return df.withColumn(output, counted(F.encode(F.lower(F.coalesce(F.col(text_col), F.lit(""))), "UTF-32")))
 
 
 def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -95,11 +95,9 @@ class Acquired:
     cursor: Any
 
     def frame(self, spark: SparkSession, schema: str | None = None) -> DataFrame:
-        """The records as a table; without a schema Spark infers one from their JSON."""
-        lines = spark.createDataFrame([(json.dumps(r),) for r in self.records], "value string")
-        if schema is None:
-            schema = spark.range(1).select(F.schema_of_json(F.lit(json.dumps(self.records[0] if self.records else {})))).first()[0]
-        return lines.select(F.from_json("value", schema).alias("r")).select("r.*")
+        """The records as a table; without a schema Spark infers one from the JSON of all of them."""
+        lines = spark.sparkContext.parallelize([json.dumps(r) for r in self.records])
+        return (spark.read if schema is None else spark.read.schema(schema)).json(lines)
 
 
 def _next(p: Acquire, url: str, payload: Any, page: int, some: bool) -> str | None:

@@ -41,6 +41,12 @@ def windowed(stream: DataFrame, time: str, width: str, keys: Sequence[str], meas
     )
 
 
-def latest_by_key(stream: DataFrame, time: str, keys: Sequence[str], late: str) -> DataFrame:
-    """Rows without repeats of a key, within the watermark."""
+def first_by_key(stream: DataFrame, time: str, keys: Sequence[str], late: str) -> DataFrame:
+    """The first row of a key that arrives; repeats within the watermark go. For append mode."""
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(list(keys))
+
+
+def latest_by_key(stream: DataFrame, time: str, keys: Sequence[str]) -> DataFrame:
+    """The row of each key with the latest time so far. For update or complete mode: a key's state is one row."""
+    row = F.struct(*[F.col(f"`{c}`") for c in stream.columns])
+    return stream.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.max_by(row, F.col(time)).alias("_row")).select("_row.*")
