@@ -170,6 +170,36 @@ def test_models_learn(spark, labelled):
         models.group_holdout(labelled.withColumn("group", F.col("label").cast("string")))
 
 
+def test_ridge_logistic_is_at_the_minimum(spark):
+    """Against Newton's method on the dense table; dense and sparse vectors give one result."""
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(80, 6)) * (rng.random((80, 6)) < 0.5) * [1, 1, 1, 0.01, 5, 0]
+    y = (rng.random(80) < 1 / (1 + np.exp(-(x[:, 0] - x[:, 1] + 0.3)))).astype(float)
+    penalty, w = 1 / (2.0 * 80), np.zeros(7)
+    a = np.c_[x, np.ones(80)]
+    ridge = np.diag([penalty] * 6 + [0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-a @ w))
+        w = w - np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) / 80 + ridge + 1e-12 * np.eye(7), a.T @ (p - y) / 80 + ridge @ w)
+    for vector in (Vectors.dense, lambda r: Vectors.sparse(6, [(i, v) for i, v in enumerate(r) if v])):
+        df = spark.createDataFrame([(vector(r), int(t)) for r, t in zip(x.tolist(), y, strict=True)], ["features", "label"])
+        model = models.logistic_regression(df, C=2.0)
+        assert model.coefficients.toArray() == pytest.approx(w[:-1], abs=5e-3) and model.intercept == pytest.approx(w[-1], abs=5e-3)
+        probability = {tuple(r.features.toArray()): r.probability[1] for r in model.transform(df).collect()}
+        assert [probability[tuple(r)] for r in x.tolist()] == pytest.approx(list(1 / (1 + np.exp(-a @ w))), abs=5e-3)
+
+
+def test_pipelines_weigh_with_the_added_one(labelled):
+    fitted = models.text_pipeline(8).fit(labelled)
+    direct = {(r.doc_id, r.term): r.weight for r in text_features.tfidf(labelled, "doc_id").collect()}
+    words = fitted.stages[1].vocabulary
+    got = {(r.doc_id, words[i]): v for r in fitted.transform(labelled).collect() for i, v in zip(r._features.indices, r._features.values, strict=True)}
+    assert got == pytest.approx(direct)
+
+
 def test_clustering(spark):
     df = spark.createDataFrame([(i, [float(i // 5) * 10, float(i % 5)]) for i in range(10)], "row_id long, vector array<double>")
     out, centres = models.clustering(df, n_init=2)

@@ -1,6 +1,7 @@
 """Classifiers, splits, calibration, metrics, inference and clustering on Spark ML.
 
-Linear models are fitted by Spark's optimisers; objectives, splits and metrics are as named.
+Logistic models of two classes are fitted by ``linear``, others by Spark's optimisers; objectives,
+splits and metrics are as named.
 Splits are by hash, so they repeat for a seed whatever the partitioning.
 """
 
@@ -14,13 +15,14 @@ import pandas as pd
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, Normalizer, SQLTransformer, VectorAssembler
+from pyspark.ml.feature import CountVectorizer, Normalizer, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirflow.contracts import ContractError
+from weirflow.operators.linear import AddedOneIdf, Hashed, RidgeLogistic
 from weirflow.operators.text_features import WORD
 
 
@@ -34,15 +36,27 @@ def check_labels(df: DataFrame, label: str = "label") -> int:
     return r["n"]
 
 
+def _classes(df: DataFrame, label: str) -> int:
+    return df.select(label).distinct().count()
+
+
 def logistic_regression(df: DataFrame, features: str = "features", label: str = "label", max_iter: int = 500, C: float = 1.0) -> Model:
-    """Ridge-penalised logistic regression; ``C`` is the inverse penalty on the summed loss."""
+    """Ridge-penalised logistic regression; ``C`` is the inverse penalty on the summed loss.
+
+    Labels 0 and 1 take our own solver; more classes take Spark's.
+    """
     n = check_labels(df, label)
+    if _classes(df, label) == 2:
+        return RidgeLogistic(features, label, 1 / (C * n), max_iter).fit(df)
     return LogisticRegression(featuresCol=features, labelCol=label, maxIter=max_iter, regParam=1 / (C * n), elasticNetParam=0.0, standardization=False).fit(df)
 
 
 def sgd_classifier(df: DataFrame, features: str = "features", label: str = "label", loss: str = "log_loss", alpha: float = 1e-4, max_iter: int = 1000, tol: float = 1e-3) -> Model:
-    """The objective of a stochastic-gradient linear classifier, fitted by full-batch descent."""
+    """The objective of a stochastic-gradient linear classifier, fitted by full-batch descent: it
+    ends at the least loss, where steps one row at a time end near it."""
     check_labels(df, label)
+    if loss == "log_loss" and _classes(df, label) == 2:
+        return RidgeLogistic(features, label, alpha, max_iter, tol).fit(df)
     kind = {"log_loss": LogisticRegression, "hinge": LinearSVC}.get(loss)
     if kind is None:
         raise ContractError("loss must be log_loss or hinge")
@@ -53,28 +67,27 @@ def sgd_classifier(df: DataFrame, features: str = "features", label: str = "labe
 EVERY_WORD = (1 << 31) - 1
 
 
-def text_pipeline(n: int, text: str = "text", label: str = "label", vectorizer: str = "tfidf", classifier: str = "logistic_regression", n_features: int = 4096, max_features: int | None = None, C: float = 1.0, max_iter: int = 500, alpha: float = 1e-4) -> Pipeline:
-    """Words to a unit vector to a linear classifier, fitted on ``n`` rows.
+def text_pipeline(n: int, text: str = "text", label: str = "label", vectorizer: str = "tfidf", classifier: str = "logistic_regression", n_features: int = 4096, max_features: int | None = None, C: float = 1.0, max_iter: int = 500, alpha: float = 1e-4, tol: float = 1e-3) -> Pipeline:
+    """Words to a unit vector to a linear classifier of labels 0 and 1, fitted on ``n`` rows.
 
     Every word counts unless ``max_features`` is given. The driver holds the words, as it holds
     the coefficient of each.
     """
-    words = SQLTransformer(statement=f"SELECT *, regexp_extract_all(lower(coalesce({text}, '')), '{WORD.replace(chr(92), chr(92) * 2)}', 0) AS _words FROM __THIS__")
     if vectorizer == "tfidf":
-        # Spark's smoothed idf, ln((n + 1) / (df + 1)), without the added one of tfidf()
-        stages = [words, CountVectorizer(inputCol="_words", outputCol="_counts", vocabSize=EVERY_WORD if max_features is None else max_features), IDF(inputCol="_counts", outputCol="_raw")]
+        words = SQLTransformer(statement=f"SELECT *, regexp_extract_all(lower(coalesce({text}, '')), '{WORD.replace(chr(92), chr(92) * 2)}', 0) AS _words FROM __THIS__")
+        counts = CountVectorizer(inputCol="_words", outputCol="_counts", vocabSize=EVERY_WORD if max_features is None else max_features)
+        stages = [words, counts, AddedOneIdf("_counts", "_raw"), Normalizer(inputCol="_raw", outputCol="_features", p=2.0)]
     elif vectorizer == "hashing":
-        stages = [words, HashingTF(inputCol="_words", outputCol="_raw", numFeatures=n_features)]
+        stages = [Hashed(text, "_features", n_features)]
     else:
         raise ContractError("vectorizer must be tfidf or hashing")
-    unit = Normalizer(inputCol="_raw", outputCol="_features", p=2.0)
     if classifier == "logistic_regression":
-        last = LogisticRegression(featuresCol="_features", labelCol=label, maxIter=max_iter, regParam=1 / (C * max(n, 1)), standardization=False)
+        last = RidgeLogistic("_features", label, 1 / (C * max(n, 1)), max_iter)
     elif classifier == "sgd_classifier":
-        last = LogisticRegression(featuresCol="_features", labelCol=label, maxIter=1000, tol=1e-3, regParam=alpha, standardization=False)
+        last = RidgeLogistic("_features", label, alpha, 1000, tol)
     else:
         raise ContractError("classifier must be logistic_regression or sgd_classifier")
-    return Pipeline(stages=[*stages, unit, last])
+    return Pipeline(stages=[*stages, last])
 
 
 def weighted_metrics(df: DataFrame, truth: str = "label", predicted: str = "prediction", by: Sequence[str] = ()) -> DataFrame:
@@ -151,10 +164,11 @@ def _hash_order(id_col: str, seed: int) -> Column:
 def train_test_split(df: DataFrame, id_col: str = "doc_id", label: str | None = "label", test_size: float = 0.25, seed: int = 0) -> DataFrame:
     """Adds ``is_test``: the rounded-up share of each label (or of all rows) that hashes lowest."""
     by = [label] if label else []
-    # the place in hash order is exact; only its count is global
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(_hash_order(id_col, seed), id_col))
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    return df.withColumn("is_test", place <= F.ceil(n * test_size))
+    # ids alone are put in order; the texts stay where they are
+    window = Window.partitionBy(*by)
+    place = F.row_number().over(window.orderBy(_hash_order(id_col, seed), id_col))
+    sides = df.select(id_col, *by).withColumn("is_test", place <= F.ceil(F.count(F.lit(1)).over(window) * test_size))
+    return df.join(sides.groupBy(id_col).agg(F.min("is_test").alias("is_test")), id_col)
 
 
 @dataclass
@@ -173,7 +187,7 @@ def _fit_and_score(train: DataFrame, test: DataFrame, label: str, **options) ->
 def train_test(df: DataFrame, id_col: str = "doc_id", label: str = "label", test_size: float = 0.25, seed: int = 0, stratify: bool = True, **options) -> Fitted:
     """Fit on the training part, weighted metrics and predictions on the rest."""
     check_labels(df, label)
-    split = train_test_split(df, id_col, label if stratify else None, test_size, seed).cache()
+    split = train_test_split(df, id_col, label if stratify else None, test_size, seed)
     return _fit_and_score(split.where("NOT is_test"), split.where("is_test"), label, **options)
 
 
@@ -188,7 +202,7 @@ def group_holdout(df: DataFrame, group: str = "group", label: str = "label", tes
         taken = groups.withColumn("is_test", F.row_number().over(Window.orderBy(_hash_order(group, seed + k), group)) <= max(1, round(n * test_size)))
         classes = sides.join(taken, group).groupBy("is_test").agg(F.count_distinct(label).alias("c")).collect()
         if len(classes) == 2 and min(r["c"] for r in classes) > 1:
-            split = df.join(taken, group).cache()
+            split = df.join(F.broadcast(taken), group)
             return _fit_and_score(split.where("NOT is_test"), split.where("is_test"), label, **options)
     raise ContractError("groups cannot produce a holdout with both label classes")
 
@@ -198,16 +212,18 @@ def with_folds(df: DataFrame, folds: int, id_col: str = "doc_id", label: str = "
     if folds < 2:
         raise ContractError("cv must be at least 2")
     place = F.row_number().over(Window.partitionBy(label).orderBy(_hash_order(id_col, seed), id_col))
-    return df.withColumn("fold", F.pmod(place, F.lit(folds)))
+    dealt = df.select(id_col, label).withColumn("fold", F.pmod(place, F.lit(folds)))
+    return df.join(dealt.groupBy(id_col).agg(F.min("fold").alias("fold")), id_col)
 
 
 def cross_validate(df: DataFrame, cv: int = 3, scoring: str = "accuracy", id_col: str = "doc_id", label: str = "label", **options) -> dict:
     """scores of each fold, their mean, and the number of folds."""
     check_labels(df, label)
-    dealt = with_folds(df, cv, id_col, label).cache()
+    dealt = with_folds(df, cv, id_col, label).persist()
     scores = [
         _fit_and_score(dealt.where(F.col("fold") != k), dealt.where(F.col("fold") == k), label, **options).metrics[scoring] for k in range(cv)
     ]
+    dealt.unpersist()
     return {"scores": scores, "mean_score": sum(scores) / cv, "folds": cv}
 
 
@@ -250,6 +266,7 @@ def calibrate(df: DataFrame, method: str = "sigmoid", cv: int = 3, id_col: str =
             parts.append((model, IsotonicRegression(featuresCol="_score", labelCol="y").fit(scored), method))
         else:
             raise ContractError("method must be sigmoid or isotonic")
+    dealt.unpersist()
     return Calibrated(parts)
 
 
