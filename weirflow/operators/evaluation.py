@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Mapping
+from functools import reduce
 from typing import Protocol
 
 from pyspark.sql import DataFrame, Window
@@ -89,8 +90,20 @@ def external_evaluation(df: DataFrame, post: Callable[[bytes, float], bytes], bo
 class SeriesAdapter:
     """Evaluates a value series by group: (group, t, value).
 
-    A signal is the sign of the last ``lag`` step; its gain is the next step. All operations
-    reduce to gains by group: over everything, by parameter, by time split, or disturbed.
+    A signal is the sign of the last ``lag`` step; its gain is the signal times the next step.
+
+    =============== =====================================================================
+    replay          every signal with its gain
+    benchmark       gains by group beside those of an always rising signal, ``held``
+    compare         gains of two lags by group, and their difference
+    parameter_sweep gains by group for each of several lags
+    regression      line of the next step over the last, by group
+    walk_forward    gains by group and time fold
+    oos             gains by group in the last fold alone
+    backtest        gains by group, and the deepest fall of their running sum
+    control         gains by group with every signal turned over
+    robustness      gains by group after values are scaled by ``1 + shift``
+    =============== =====================================================================
     """
 
     operations = tuple(o for o in OPERATIONS if o != "replay_eval.external_api_evaluation")
@@ -98,32 +111,60 @@ class SeriesAdapter:
     def _gains(self, df: DataFrame, lag: int = 1) -> DataFrame:
         w = Window.partitionBy("group").orderBy("t")
         step = F.col("value") - F.lag("value", lag).over(w)
-        moved = df.withColumn("signal", F.signum(step)).withColumn("next", F.lead("value").over(w) - F.col("value"))
-        return moved.where("signal IS NOT NULL AND next IS NOT NULL").withColumn("gain", F.col("signal") * F.col("next"))
+        moved = df.withColumns({"step": step, "next": F.lead("value").over(w) - F.col("value")})
+        gains = moved.where("step IS NOT NULL AND next IS NOT NULL").withColumn("signal", F.signum("step"))
+        return gains.withColumn("gain", F.col("signal") * F.col("next"))
 
     def _summary(self, gains: DataFrame, *by: str) -> DataFrame:
-        return gains.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("gain"), F.lit(0.0)).alias("gain"), F.avg("gain").alias("mean_gain"))
+        return gains.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("gain").alias("gain"), F.avg("gain").alias("mean_gain"))
+
+    def _folds(self, gains: DataFrame, folds: int) -> DataFrame:
+        return gains.withColumn("fold", F.ntile(folds).over(Window.partitionBy("group").orderBy("t")).cast("long"))
 
     def execute(self, operation: str, df: DataFrame, params: dict) -> DataFrame:
-        name = operation.partition(".")[2]
-        lag = int(params.get("lag", 1))
-        if name == "replay":
-            return self._gains(df, lag)
-        if name in ("benchmark", "backtest"):
-            return self._summary(self._gains(df, lag), "group")
-        if name in ("parameter_sweep", "compare", "regression"):
-            lags = [int(x) for x in params.get("lags", (1, 2))]
-            parts = [self._summary(self._gains(df, k), "group").withColumn("lag", F.lit(k)) for k in lags]
-            out = parts[0]
-            for p in parts[1:]:
-                out = out.unionByName(p)
-            return out
-        if name in ("walk_forward", "oos"):
-            folds = int(params.get("folds", 2))
-            part = F.ntile(folds).over(Window.partitionBy("group").orderBy("t"))
-            return self._summary(self._gains(df, lag).withColumn("fold", part), "group", "fold")
-        # control turns every signal over; robustness shifts values by a fixed share of themselves
-        if name == "control":
-            return self._summary(self._gains(df, lag).withColumn("gain", -F.col("gain")), "group")
+        return getattr(self, "_" + operation.partition(".")[2])(df, params)
+
+    def _replay(self, df: DataFrame, params: dict) -> DataFrame:
+        return self._gains(df, int(params.get("lag", 1))).drop("step")
+
+    def _benchmark(self, df: DataFrame, params: dict) -> DataFrame:
+        gains = self._gains(df, int(params.get("lag", 1)))
+        return gains.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("gain").alias("gain"), F.sum("next").alias("held"))
+
+    def _parameter_sweep(self, df: DataFrame, params: dict) -> DataFrame:
+        lags = [int(x) for x in params.get("lags", (1, 2))]
+        parts = [self._summary(self._gains(df, k), "group").withColumn("lag", F.lit(k).cast("long")) for k in lags]
+        return reduce(DataFrame.unionByName, parts)
+
+    def _compare(self, df: DataFrame, params: dict) -> DataFrame:
+        a, b = (int(x) for x in params.get("lags", (1, 2)))
+        of = lambda lag, name: self._gains(df, lag).groupBy("group").agg(F.sum("gain").alias(name))
+        both = of(a, "gain_a").join(of(b, "gain_b"), "group", "full_outer")
+        return both.withColumn("difference", F.col("gain_b") - F.col("gain_a"))
+
+    def _regression(self, df: DataFrame, params: dict) -> DataFrame:
+        gains = self._gains(df, int(params.get("lag", 1)))
+        return gains.groupBy("group").agg(
+            F.count(F.lit(1)).alias("n"), F.regr_slope("next", "step").alias("slope"), F.regr_intercept("next", "step").alias("intercept")
+        )
+
+    def _walk_forward(self, df: DataFrame, params: dict) -> DataFrame:
+        return self._summary(self._folds(self._gains(df, int(params.get("lag", 1))), int(params.get("folds", 2))), "group", "fold")
+
+    def _oos(self, df: DataFrame, params: dict) -> DataFrame:
+        folds = int(params.get("folds", 2))
+        return self._summary(self._folds(self._gains(df, int(params.get("lag", 1))), folds).where(F.col("fold") == folds), "group")
+
+    def _backtest(self, df: DataFrame, params: dict) -> DataFrame:
+        so_far = Window.partitionBy("group").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+        gains = self._gains(df, int(params.get("lag", 1))).withColumn("running", F.sum("gain").over(so_far))
+        fall = F.greatest(F.max("running").over(so_far), F.lit(0.0)) - F.col("running")
+        fell = gains.withColumn("fall", fall)
+        return fell.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("gain").alias("gain"), F.max("fall").alias("drawdown"))
+
+    def _control(self, df: DataFrame, params: dict) -> DataFrame:
+        return self._summary(self._gains(df, int(params.get("lag", 1))).withColumn("gain", -F.col("gain")), "group")
+
+    def _robustness(self, df: DataFrame, params: dict) -> DataFrame:
         shift = float(params.get("shift", 0.01))
-        return self._summary(self._gains(df.withColumn("value", F.col("value") * (1 + shift)), lag), "group")
+        return self._summary(self._gains(df.withColumn("value", F.col("value") * (1 + shift)), int(params.get("lag", 1))), "group")

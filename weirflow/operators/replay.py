@@ -10,13 +10,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Any
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weirflow.contracts import ContractError, Record, record
+from weirflow.functions.scalars import splitmix64
 
 FILE, ROW = "_file", "_row"
 
@@ -194,25 +193,9 @@ def with_changes(df: DataFrame) -> DataFrame:
     return joined.withColumn("_new", before.isNull() | (before != F.col("_identity"))).drop("_block", "_before", "_carried")
 
 
-_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def splitmix64(values: np.ndarray) -> np.ndarray:
-    """The published 64-bit mixer, on unsigned words."""
-    x = values.astype(np.uint64) + _A
-    x = (x ^ (x >> np.uint64(30))) * _B
-    x = (x ^ (x >> np.uint64(27))) * _C
-    return x ^ (x >> np.uint64(31))
-
-
 def identity_bucket(identity: Column, buckets: int) -> Column:
-    """Bucket of an identity. Spark has no wrapping multiplication, so this runs in Arrow batches."""
-
-    @F.pandas_udf("int")
-    def bucket(ids: pd.Series) -> pd.Series:
-        return pd.Series((splitmix64(ids.to_numpy()) & np.uint64(buckets - 1)).astype(np.int32))
-
-    return bucket(identity)
+    """Bucket of an identity: the low bits of its mix, for a number of buckets that is a power of two."""
+    return splitmix64(identity.cast("long")).bitwiseAND(F.lit(buckets - 1).cast("long")).cast("int")
 
 
 @dataclass(frozen=True)

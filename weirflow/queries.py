@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weirflow.operators import evaluation, grid, html, media, models, replay, tabular, text_features
@@ -98,8 +98,8 @@ query(
     )
 )
 for how, negation in (("semi", ""), ("anti", "NOT ")):
-    query(f"join_{how}", f"SELECT custkey, {_C} FROM {_CO} WHERE {negation}EXISTS (SELECT 1 FROM {_OO} WHERE o.custkey = c.custkey)")(
-        lambda s, d, how=how: tabular.join(*_customers(s, d), {"on": ["custkey"], "how": how})
+    query(f"join_{how}", f"SELECT custkey, {_C} FROM {_CO} WHERE {negation}EXISTS (SELECT 1 FROM {_OO} WHERE o.custkey = c.custkey AND o_totalprice > 300000)")(
+        lambda s, d, how=how: (lambda c, o: tabular.join(c, o.where("o_totalprice > 300000"), {"on": ["custkey"], "how": how}))(*_customers(s, d))
     )
 
 
@@ -218,7 +218,13 @@ query(
     "structural_canonicalize",
     "SELECT 256::BIGINT AS bucket_count, count(*) AS rows, count(DISTINCT event_id) AS groups, 0::BIGINT AS witnesses, min(event_id) + 1 AS first_identity, max(event_id) + 1 AS last_identity FROM events",
 )(lambda s, d: replay.canonicalize(_records(s, d), PROFILE).summary(s))
-query("canonicalize_buckets")(lambda s, d: replay.canonicalize(_records(s, d), PROFILE).bucket_counts())
+_MIX = "(xor({x}, ({x}) >> {shift}) * {factor}::UHUGEINT) % 18446744073709551616::UHUGEINT"
+query(
+    "canonicalize_buckets",
+    f"""WITH a AS (SELECT DISTINCT ((event_id + 1)::UHUGEINT + {0x9E3779B97F4A7C15}::UHUGEINT) % 18446744073709551616::UHUGEINT AS x FROM events),
+b AS (SELECT {_MIX.format(x='x', shift=30, factor=0xBF58476D1CE4E5B9)} AS x FROM a), c AS (SELECT {_MIX.format(x='x', shift=27, factor=0x94D049BB133111EB)} AS x FROM b)
+SELECT (xor(x, x >> 31) % 256)::INT AS bucket, count(*) AS n FROM c GROUP BY 1""",
+)(lambda s, d: replay.canonicalize(_records(s, d), PROFILE).bucket_counts())
 
 
 def _merged(s: SparkSession, d: str) -> DataFrame:
@@ -416,31 +422,87 @@ query("pair_scores")(lambda s, d: models.pair_scores(_pair_rows(s, d), _toy_logi
 query("html_extract")(lambda s, d: html.extract(read(s, d, "pages"), "article", {"title": "h1", "body": "p", "link": "a"}))
 query("incremental", "SELECT max(event_id) AS cursor FROM events WHERE event_id > 100")(lambda s, d: fetch.incremental(read(s, d, "events"), "event_id", 100)[1])
 query("incremental_rows", "SELECT * FROM events WHERE ts > TIMESTAMP '2024-01-15 00:00:00'")(
-    lambda s, d: read(s, d, "events").where("ts > TIMESTAMP_NTZ '2024-01-15 00:00:00'")
+    lambda s, d: fetch.incremental(read(s, d, "events"), "ts", "2024-01-15 00:00:00")[0]
 )
 
 
 def _transcripts(s: SparkSession, d: str) -> DataFrame:
+    """Turns as segments that overlap in time, each with the first two words of the next."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    heard = read(s, d, "conversations").withColumn("text", F.concat_ws(" ", "text", F.substring_index(F.lead("text").over(w), " ", 2)))
     seg = F.struct(F.col("turn").cast("double").alias("start"), (F.col("turn") + 1.2).cast("double").alias("end"), F.col("text").alias("text"))
-    return read(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(seg)).alias("segments"))
-
+    return heard.groupBy("conv_id").agg(F.array_sort(F.collect_list(seg)).alias("segments"))
+
+
+#: The fold as a recursive query: a row for each segment, with the end, words and text of the last one kept.
+_UNDONE = r"""WITH RECURSIVE heard AS (
+  SELECT conv_id, turn, concat_ws(' ', text, array_to_string(string_split(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), ' ')[1:2], ' ')) AS text FROM conversations
+), seg AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn, turn::DOUBLE AS s, (turn + 1.2)::DOUBLE AS e,
+         list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w
+  FROM heard
+), ready AS (SELECT *, list_transform(w, lambda x: trim(replace(lower(x), 'ß', 'ss'), '.,!?;:')) AS b FROM seg),
+fold AS (
+  SELECT f.conv_id, rn, 0 AS cut, s AS start, e AS end_, e AS last, b AS held, heard.text AS said, true AS kept
+  FROM ready f JOIN (SELECT * FROM heard WHERE (conv_id, turn) IN (SELECT conv_id, min(turn) FROM heard GROUP BY conv_id)) heard USING (conv_id) WHERE rn = 1
+  UNION ALL
+  SELECT conv_id, rn, n, moved, e, CASE WHEN stays THEN e ELSE last END, CASE WHEN stays THEN list_slice(b, n + 1, len(b)) ELSE held END, array_to_string(list_slice(w, n + 1, len(w)), ' '), stays
+  FROM (
+    SELECT *, n < len(w) AND NOT (s < last AND e <= moved) AS stays
+    FROM (
+      SELECT x.conv_id, x.rn, x.s, x.e, x.w, x.b, f.last, f.held, greatest(x.s, f.last) AS moved,
+             coalesce(list_max(list_filter(range(1, least(len(f.held), len(x.b)) + 1), lambda k: list_slice(f.held, len(f.held) - k + 1, len(f.held)) = list_slice(x.b, 1, k))), 0) AS n
+      FROM fold f JOIN ready x ON x.conv_id = f.conv_id AND x.rn = f.rn + 1
+    )
+  )
+)
+SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY rn) - 1)::INT AS place, start, end_ AS "end", said AS text FROM fold WHERE kept"""
 
 _flat = lambda df: df.select("conv_id", F.posexplode("segments").alias("place", "x")).select("conv_id", "place", "x.*")
-query("overlap_remove")(lambda s, d: _flat(media.overlap_remove(_transcripts(s, d), "conv_id")))
-query("asr_merge")(lambda s, d: _flat(media.asr_merge(_transcripts(s, d), "conv_id")))
+query("overlap_remove", _UNDONE)(lambda s, d: _flat(media.overlap_remove(_transcripts(s, d), "conv_id")))
+query("asr_merge", _UNDONE)(lambda s, d: _flat(media.asr_merge(_transcripts(s, d), "conv_id")))
 
 
 def _series(s: SparkSession, d: str) -> DataFrame:
     return read(s, d, "events").select(F.col("event_type").alias("group"), F.col("event_id").alias("t"), "value")
 
 
-for operation in evaluation.SeriesAdapter.operations:
-    if operation != "replay_eval.replay":
-        query(f"evaluation_{operation.partition('.')[2]}")(lambda s, d, o=operation: evaluation.evaluate(evaluation.SeriesAdapter(), o, _series(s, d), {}))
+def _gains(lag: int = 1, value: str = "value") -> str:
+    """Gains as SQL, to stand in front of a query as ``g``."""
+    return f"""WITH m AS (SELECT event_type AS "group", event_id AS t, {value} AS value FROM events),
+s AS (SELECT *, value - lag(value, {lag}) OVER w AS step, lead(value) OVER w - value AS next FROM m WINDOW w AS (PARTITION BY "group" ORDER BY t)),
+g AS (SELECT *, sign(step) * next AS gain FROM s WHERE step IS NOT NULL AND next IS NOT NULL)"""
+
+
+_SUM = 'count(*) AS n, round(sum(gain), 4) AS gain, round(avg(gain), 4) AS mean_gain'
+_FOLDS = ', f AS (SELECT *, ntile(2) OVER (PARTITION BY "group" ORDER BY t) AS fold FROM g)'
+_EVALUATIONS = {
+    "benchmark": f'{_gains()} SELECT "group", count(*) AS n, round(sum(gain), 4) AS gain, round(sum(next), 4) AS held FROM g GROUP BY "group"',
+    "compare": f"""SELECT "group", gain_a, gain_b, round(gain_b - gain_a, 4) AS difference FROM ({_gains(1)} SELECT "group", round(sum(gain), 4) AS gain_a FROM g GROUP BY "group")
+JOIN ({_gains(2)} SELECT "group", round(sum(gain), 4) AS gain_b FROM g GROUP BY "group") USING ("group")""",
+    "parameter_sweep": " UNION ALL ".join(f'SELECT * FROM ({_gains(k)} SELECT "group", {_SUM}, {k}::BIGINT AS lag FROM g GROUP BY "group")' for k in (1, 2)),
+    "regression": f'{_gains()} SELECT "group", count(*) AS n, round(regr_slope(next, step), 4) AS slope, round(regr_intercept(next, step), 4) AS intercept FROM g GROUP BY "group"',
+    "walk_forward": f'{_gains()}{_FOLDS} SELECT "group", fold, {_SUM} FROM f GROUP BY "group", fold',
+    "oos": f'{_gains()}{_FOLDS} SELECT "group", {_SUM} FROM f WHERE fold = 2 GROUP BY "group"',
+    "backtest": f"""{_gains()}, r AS (SELECT *, sum(gain) OVER o AS running FROM g WINDOW o AS (PARTITION BY "group" ORDER BY t)),
+p AS (SELECT *, greatest(max(running) OVER o, 0) - running AS fall FROM r WINDOW o AS (PARTITION BY "group" ORDER BY t))
+SELECT "group", count(*) AS n, round(sum(gain), 4) AS gain, round(max(fall), 4) AS drawdown FROM p GROUP BY p."group" """,
+    "control": f'{_gains()} SELECT "group", count(*) AS n, round(-sum(gain), 4) AS gain, round(-avg(gain), 4) AS mean_gain FROM g GROUP BY "group"',
+    "robustness": f'{_gains(1, "value * 1.01::DOUBLE")} SELECT "group", {_SUM} FROM g GROUP BY "group"',
+}
+
+
+def _evaluated(s: SparkSession, d: str, name: str) -> DataFrame:
+    df = evaluation.evaluate(evaluation.SeriesAdapter(), f"replay_eval.{name}", _series(s, d), {})
+    return df.withColumns({c: F.round(c, 4) for c, kind in df.dtypes if kind == "double"})
+
+
+for name, sql in _EVALUATIONS.items():
+    query(f"evaluation_{name}", sql)(lambda s, d, name=name: _evaluated(s, d, name))
 query(
     "evaluation_replay",
     """WITH x AS (SELECT event_type AS "group", event_id AS t, value, sign(value - lag(value) OVER w)::DOUBLE AS signal, lead(value) OVER w - value AS next
-FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)) SELECT "group", t, value, signal, round(next, 6) AS next, round(signal * next, 6) AS gain FROM x WHERE signal IS NOT NULL AND next IS NOT NULL""",
+FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)) SELECT "group", t, value, signal, round(next, 6) AS next, round(signal * next, 6) + 0.0 AS gain FROM x WHERE signal IS NOT NULL AND next IS NOT NULL""",
 )(lambda s, d: _round_all(evaluation.evaluate(evaluation.SeriesAdapter(), "replay_eval.replay", _series(s, d), {}), "next", "gain"))
 
 # plans

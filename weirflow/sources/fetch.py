@@ -166,5 +166,6 @@ def incremental(df: DataFrame, cursor_field: str, prior: Any = None) -> tuple[Da
     The comparison reaches the scan as a pushed filter.
     """
     c = F.col(cursor_field)
-    fresh = df.where(c.isNotNull()) if prior is None else df.where(c > F.lit(prior))
-    return fresh, fresh.agg(F.coalesce(F.max(c), F.lit(prior)).alias("cursor"))
+    at = F.lit(prior).cast(df.schema[cursor_field].dataType)
+    fresh = df.where(c.isNotNull()) if prior is None else df.where(c > at)
+    return fresh, fresh.agg(F.coalesce(F.max(c), at).alias("cursor"))
