@@ -262,3 +262,50 @@ def test_streams_pick_up_where_they_ended(spark, tmp_path):
     stream = spark.readStream.schema("ts timestamp, k long, v double").parquet(str(tmp_path / "ev"))
     incremental.run_available(incremental.windowed(stream, "ts", "5 minutes", ["k"], "v", "1 minute"), str(tmp_path / "m2"), lambda df, n: seen.extend(df.collect()), "update")
     assert sum(r.n for r in seen) >= 20
+
+
+def test_outputs_must_be_in_the_store(tmp_path, monkeypatch):
+    st = store.Store(tmp_path)
+    here, other = st.write(b"here"), store.Store(tmp_path / "other").write(b"elsewhere")
+    record = {"shard_id": "s", "attempt_id": "x1", "status": "succeeded", "started_at": "2024-01-01T00:00:00", "finished_at": "2024-01-01T00:01:00"}
+    from dataclasses import asdict
+
+    st.append_attempt("run", record | {"output_refs": [asdict(here)]})
+    with pytest.raises(ContractError, match=other.sha256):
+        st.append_attempt("run", record | {"attempt_id": "x2", "output_refs": [asdict(here), asdict(other)]})
+    with pytest.raises(ContractError, match="outputs must exist"):
+        st.write_manifest("run", {"revision": 0, "final_output_refs": [asdict(other)]}, -1)
+    assert st.manifest("run") is None
+    st.write_manifest("run", {"revision": 0, "final_output_refs": [asdict(here)]}, -1)
+    # a file that changes while it is read is not right, whatever was read
+    late = st.write(b"late")
+    real = store.hash_file
+
+    def touched(path):
+        found = real(path)
+        path.write_bytes(b"late")
+        return found
+
+    monkeypatch.setattr(store, "hash_file", touched)
+    assert not st.verify(late)
+    # versions that are used stay remembered
+    monkeypatch.setattr(store, "hash_file", real)
+    monkeypatch.setattr(store, "REMEMBERED", 2)
+    a, b, c = (st.write(x) for x in (b"a", b"b", b"c"))
+    assert st.verify(a) and st.verify(b) and st.verify(a) and st.verify(c)
+    monkeypatch.setattr(store, "hash_file", lambda path: pytest.fail("hashed again"))
+    assert st.verify(a) and st.verify(c)
+
+
+def test_streams_keep_the_first_or_the_latest_of_a_key(spark, tmp_path):
+    from weirflow.streaming import incremental
+
+    schema = "k string, t timestamp, v int"
+    rows = [("a", "2024-01-01 00:00:01", 1), ("a", "2024-01-01 00:00:05", 2), ("b", "2024-01-01 00:00:03", 3), ("a", "2024-01-01 00:00:04", 4)]
+    spark.createDataFrame(rows, "k string, t string, v int").selectExpr("k", "timestamp(t) AS t", "v").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    got = {}
+    for name, df, mode in (("latest", incremental.latest_by_key(stream, "t", ["k"]), "complete"), ("first", incremental.first_by_key(stream, "t", ["k"], "1 hour"), "append")):
+        incremental.run_available(df, str(tmp_path / name), lambda batch, _, name=name: got.setdefault(name, []).extend(batch.collect()), mode)
+    assert {r.k: r.v for r in got["latest"]} == {"a": 2, "b": 3}
+    assert sorted(r.k for r in got["first"]) == ["a", "b"]

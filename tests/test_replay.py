@@ -182,3 +182,18 @@ def test_window_equals_walk(spark, seed):
 def test_a_bad_row_of_another_symbol_fails(spark):
     with pytest.raises(RecordError):
         replay.event_window(events(spark, [(1, "x", 1, 1, 1.0, 0), (-5, "y", 1, 1, 1.0, 0)]), WINDOW)
+
+
+def test_splitmix_equals_whole_numbers(spark):
+    from weirflow.functions import scalars
+
+    def mix(x):
+        m = (1 << 64) - 1
+        x = (x + 0x9E3779B97F4A7C15) & m
+        x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & m
+        x = ((x ^ x >> 27) * 0x94D049BB133111EB) & m
+        return x ^ x >> 31
+
+    ids = [0, 1, 2, 255, 2**31, 2**63 - 1, -1, -(2**63), *range(-50, 1000, 37), 123456789012345678]
+    got = spark.createDataFrame([(i,) for i in ids], "i long").select("i", scalars.splitmix64(F.col("i")).alias("x")).collect()
+    assert all(r.x % (1 << 64) == mix(r.i % (1 << 64)) for r in got) and mix(0) == 0xE220A8397B1DCDAF

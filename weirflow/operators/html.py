@@ -10,8 +10,10 @@ A tag that is never closed stays open until one around it closes.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Mapping
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Mapping
 from html.parser import HTMLParser
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,91 +21,94 @@ from pyspark.sql import functions as F
 from weirflow.contracts import ContractError
 
 
-class Node:
-    __slots__ = ("tag", "attributes", "above", "below", "said")
-
-    def __init__(self, tag: str, attributes: Mapping[str, str], above: Node | None):
-        self.tag, self.attributes, self.above = tag, dict(attributes), above
-        self.below: list[Node] = []
-        self.said: list[str] = []
-
-    def under(self) -> Iterator[Node]:
-        """All nodes below, in document order; deep pages do not recurse."""
-        waiting = list(reversed(self.below))
-        while waiting:
-            node = waiting.pop()
-            yield node
-            waiting.extend(reversed(node.below))
-
-    def text(self) -> str:
-        return " ".join(" ".join(part for node in (self, *self.under()) for part in node.said).split())
+#: Pages whose items a worker hands on at once.
+PAGES = 500
 
 
 class Page(HTMLParser):
-    """The tree of a page, from forgiving public parser events."""
+    """A page as columns in document order: an element is a number, and all below it follow it.
+
+    ``tag``, ``attributes`` and ``said`` (its own texts) are by element; ``past`` is the number
+    after its last one below. Element 0 is the page itself.
+    """
 
     def __init__(self, source: str):
         super().__init__(convert_charrefs=True)
-        self.top = self.at = Node("", {}, None)
+        self.tag: list[str] = [""]
+        self.attributes: list[dict[str, str]] = [{}]
+        self.said: list[list[str]] = [[]]
+        self.past: list[int] = [0]
+        self._open = [0]
         self.feed(source)
         self.close()
+        self._end(0)
+
+    def _end(self, depth: int) -> None:
+        """Elements from this depth on end here."""
+        for element in self._open[depth:]:
+            self.past[element] = len(self.tag)
+        del self._open[depth:]
 
     def handle_starttag(self, tag, attrs):
-        self.at.below.append(Node(tag, {k: v or "" for k, v in attrs}, self.at))
-        self.at = self.at.below[-1]
+        self._open.append(len(self.tag))
+        self.tag.append(tag)
+        self.attributes.append({name: value or "" for name, value in attrs})
+        self.said.append([])
+        self.past.append(0)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        self.handle_endtag(tag)
+        self._end(len(self._open) - 1)
 
     def handle_endtag(self, tag):
-        node = self.at
-        while node.above is not None and node.tag != tag:
-            node = node.above
-        if node.above is not None:
-            self.at = node.above
+        # the innermost open one of that name; an end without a start is nothing
+        for depth in range(len(self._open) - 1, 0, -1):
+            if self.tag[self._open[depth]] == tag:
+                return self._end(depth)
 
     def handle_data(self, data):
-        self.at.said.append(data)
-
-
-def _fits(part: str):
-    tag, _, name = part.partition(".")
-    if part.startswith("#"):
-        return lambda n: n.attributes.get("id") == part[1:]
-    if name:
-        return lambda n: (not tag or n.tag == tag) and name in n.attributes.get("class", "").split()
-    return lambda n: n.tag == part
-
-
-def select(node: Node, selector: str) -> list[Node]:
-    found = [node]
-    for part in selector.split():
-        ok = _fits(part)
-        found = [n for parent in found for n in parent.under() if ok(n)]
-    return found
-
-
-def _field(node: Node, rule: str) -> str | None:
-    if rule == "text":
-        return node.text()
-    if rule.startswith("@"):
-        return node.attributes.get(rule[1:])
-    first = next(iter(select(node, rule)), None)
-    return None if first is None else first.text()
+        self.said[self._open[-1]].append(data)
+
+    def text(self, element: int) -> str:
+        inside = chain.from_iterable(self.said[element : self.past[element]])
+        return " ".join(" ".join(inside).split())
+
+    def select(self, selector: str, within: int = 0) -> list[int]:
+        """The elements that a selector finds below one, in the order of the parts' finds."""
+        found = [within]
+        for part in selector.split():
+            hits = [e for e, ok in enumerate(map(self._test(part), range(len(self.tag)))) if ok]
+            found = [e for above in found for e in hits[bisect_right(hits, above) : bisect_left(hits, self.past[above])]]
+        return found
+
+    def _test(self, part: str) -> Callable[[int], bool]:
+        if part.startswith("#"):
+            return lambda e: self.attributes[e].get("id") == part[1:]
+        tag, _, name = part.partition(".")
+        if not name:
+            return lambda e: self.tag[e] == part
+        return lambda e: tag in ("", self.tag[e]) and name in self.attributes[e].get("class", "").split()
+
+    def field(self, element: int, rule: str) -> str | None:
+        if rule.startswith("@"):
+            return self.attributes[element].get(rule[1:])
+        if rule == "text":
+            return self.text(element)
+        return next(map(self.text, self.select(rule, element)), None)
 
 
 def records(source: str | Page, item_selector: str, fields: Mapping[str, str]) -> list[dict]:
     """The items of a page; without fields an item is its text."""
     page = source if isinstance(source, Page) else Page(source)
     rules = dict(fields) or {"text": "text"}
-    return [{name: _field(node, rule) for name, rule in rules.items()} for node in select(page.top, item_selector)]
+    return [{name: page.field(item, rule) for name, rule in rules.items()} for item in page.select(item_selector)]
 
 
 def extract(pages: DataFrame, item_selector: str, fields: Mapping[str, str] | None = None, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(id, item, fields...): one row for each item of each page, numbered from 0.
 
-    Parsing needs Python; a table function streams a page at a time through Arrow.
+    Parsing needs Python. A batch of Arrow rows is split, so that a worker holds the items of
+    ``PAGES`` pages at once.
     """
     fields = dict(fields or {})
     if not item_selector or not all(isinstance(k, str) and isinstance(v, str) and k.isidentifier() for k, v in fields.items()):
@@ -115,13 +120,15 @@ def extract(pages: DataFrame, item_selector: str, fields: Mapping[str, str] | No
     def run(batches):
         import pandas as pd
 
-        for pdf in batches:
-            rows = [
-                (page, k, *item.values())
-                for page, source in zip(pdf["_page"], pdf["_html"], strict=True)
-                for k, item in enumerate(records(source or "", item_selector, fields))
-            ]
-            yield pd.DataFrame(rows, columns=["_page", "item", *names])
+        for whole in batches:
+            for at in range(0, len(whole), PAGES):
+                pdf = whole.iloc[at : at + PAGES]
+                rows = [
+                    (page, k, *item.values())
+                    for page, source in zip(pdf["_page"], pdf["_html"], strict=True)
+                    for k, item in enumerate(records(source or "", item_selector, fields))
+                ]
+                yield pd.DataFrame(rows, columns=["_page", "item", *names])
 
     kind = pages.schema[id_col].dataType.simpleString()
     schema = f"_page {kind}, item int, " + ", ".join(f"`{n}` string" for n in names)

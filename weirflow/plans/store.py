@@ -12,7 +12,7 @@ import os
 import re
 import tempfile
 from collections import OrderedDict
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass
 from datetime import datetime
@@ -147,24 +147,38 @@ class Store:
     def exists(self, artifact: Artifact) -> bool:
         return self.path(artifact).is_file()
 
-    def verify(self, artifact: Artifact) -> bool:
-        """Whether the file is there and right; an unchanged file is hashed once."""
-        path = self.path(artifact)
+    def _version(self, artifact: Artifact) -> tuple | None:
+        """What tells versions of a file apart without reading it; none if there is no such file."""
         try:
-            stat = path.stat()
-            stamp = (str(path), stat.st_dev, stat.st_ino, stat.st_size, stat.st_mtime_ns, stat.st_ctime_ns)
-            if artifact.size_bytes not in (None, stat.st_size):
-                return False
-            if stamp not in self._checked:
-                found, _ = hash_file(path)
-                if found != artifact.sha256:
-                    return False
-                self._checked[stamp] = True
-                if len(self._checked) > REMEMBERED:
-                    self._checked.popitem(last=False)
-            return True
+            s = self.path(artifact).stat()
         except OSError:
+            return None
+        return artifact.sha256, s.st_dev, s.st_ino, s.st_size, s.st_mtime_ns, s.st_ctime_ns
+
+    def verify(self, artifact: Artifact) -> bool:
+        """Whether the file is there and right. A version of it is hashed once while it is
+        among those used last; a file that changes while it is read is not right."""
+        version = self._version(artifact)
+        if version is None or artifact.size_bytes not in (None, version[3]):
             return False
+        right = self._checked.pop(version, False)
+        if not right:
+            try:
+                right = hash_file(self.path(artifact))[0] == artifact.sha256 and self._version(artifact) == version
+            except OSError:
+                right = False
+        if right:
+            self._checked[version] = True  # at the end, as the one used last
+            while len(self._checked) > REMEMBERED:
+                self._checked.popitem(last=False)
+        return right
+
+    def _need(self, refs: Iterable[Mapping]) -> None:
+        """Every named output must be in this store, as its reference says."""
+        fields = Artifact.__dataclass_fields__
+        missing = [r["sha256"] for r in refs if not self.verify(Artifact(**{k: v for k, v in r.items() if k in fields}))]
+        if missing:
+            raise ContractError(f"outputs must exist: {', '.join(missing)}")
 
     @contextmanager
     def verified_copy(self, artifact: Artifact) -> Iterator[Path]:
@@ -184,6 +198,7 @@ class Store:
 
     def append_attempt(self, run_id: str, attempt: Mapping) -> None:
         check_attempt(attempt)
+        self._need(attempt.get("output_refs") or ())
         path = self.runs / component(run_id) / "attempts" / f"{component(attempt['attempt_id'])}.json"
         data = (canonical(dict(attempt)) + "\n").encode()
         with self.lock():
@@ -205,20 +220,19 @@ class Store:
         return json.loads(path.read_text()) if path.exists() else None
 
     def write_manifest(self, run_id: str, manifest: Mapping, expected_revision: int) -> dict:
-        folder = self.runs / component(run_id)
+        """Publish the revision after the expected one; only one of several writers can."""
+        revision, folder = expected_revision + 1, self.runs / component(run_id)
+        if manifest.get("revision") != revision:
+            raise ContractError("the next revision must be one higher")
+        data = (canonical(dict(manifest)) + "\n").encode()
+        kept = folder / "manifests" / f"{revision:020d}.json"
         with self.lock():
-            current = self.manifest(run_id)
-            found = current["revision"] if current else -1
-            if found != expected_revision:
+            found = (self.manifest(run_id) or {"revision": -1})["revision"]
+            if found != expected_revision or kept.exists():
                 raise RevisionConflict(f"expected revision {expected_revision}, found {found}")
-            if manifest.get("revision") != expected_revision + 1:
-                raise ContractError("the next revision must be one higher")
-            history = folder / "manifests" / f"{manifest['revision']:020d}.json"
-            if history.exists():
-                raise RevisionConflict("the revision exists")
-            data = (canonical(dict(manifest)) + "\n").encode()
-            publish(history, data)
-            publish(folder / "latest.json", data)
+            self._need(manifest.get("final_output_refs") or ())
+            for path in (kept, folder / "latest.json"):
+                publish(path, data)
         return dict(manifest)
 
 

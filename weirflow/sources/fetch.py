@@ -113,8 +113,8 @@ def _next(p: Acquire, url: str, payload: Any, page: int, some: bool) -> str | No
         return None if cursor in (None, "") else with_query(url, rule.get("cursor_param", "cursor"), cursor)
     if kind == "link":
         if isinstance(payload, html.Page):
-            found = html.select(payload.top, rule.get("next_selector", "a.next"))
-            link = found[0].attributes.get("href") if found else None
+            found = payload.select(rule.get("next_selector", "a.next"))
+            link = payload.attributes[found[0]].get("href") if found else None
         else:
             link = nested(payload, rule.get("next_field", "next"))
         return safe_url(urljoin(url, link)) if isinstance(link, str) and link else None
