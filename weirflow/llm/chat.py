@@ -8,7 +8,8 @@ another character restores the text.
 
 Defined results: null text or role reads as empty; turns that share a number are ordered by
 role, then text; repeated turns stay; rows without conv_id form one conversation with a null
-id; an empty table gives an empty result; other columns are not looked at.
+id; a very long text or conversation is one string, formatted whole; an empty table gives an
+empty result; other columns are not looked at and may have the names of the result's.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ def format_turns(turns: DataFrame, trained: str = "assistant") -> DataFrame:
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    sorted_turns = turns.groupBy(F.col("conv_id").alias("conv_id")).agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    sorted_turns = turns.groupBy(F.col("conv_id").alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("t"))
     t = F.col("t")
     heads = F.filter(
         F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i).role != F.get(t, i - 1).role)
