@@ -12,8 +12,9 @@ to the size of all sources; none is above ``max_repeat`` times its source, and w
 cannot give is shared among the others by weight.
 
 Defined results: a null text has size 0; null ids take part by their text; rows equal in id and
-text share a hash, so they are taken alike; a source of size 0 has target 0; an empty table
-gives an empty result; other columns are untouched and may have any name.
+text share a hash, so they are taken alike; a source of size 0 has target 0; a very long text
+counts whole, and is taken if that comes nearer to the target; an empty table gives an empty
+result; other columns are untouched and may have any name.
 """
 
 from __future__ import annotations
