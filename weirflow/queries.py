@@ -385,9 +385,16 @@ query("train_test_hashing")(lambda s, d: _metrics(s, models.train_test(_labelled
 query("group_holdout")(lambda s, d: _metrics(s, models.group_holdout(_labelled(s, d)).metrics))
 query("cross_validate")(lambda s, d: _metrics(s, {f"fold_{i}": x for i, x in enumerate(models.cross_validate(_labelled(s, d))["scores"])}))
 query("calibrate")(lambda s, d: models.calibrate(_labelled(s, d)).transform(_labelled(s, d)).select("doc_id", "label", F.round("probability_1", 6).alias("probability_1")))
-query("batch_inference")(
-    lambda s, d: models.batch_inference(read(s, d, "documents"), models.text_pipeline(100).fit(_labelled(s, d)), 0.5).select("doc_id", "prediction", F.round("positive", 6).alias("positive"), "passed")
-)
+
+
+def _inferred(s: SparkSession, d: str) -> DataFrame:
+    train = _labelled(s, d)
+    model = models.text_pipeline(train.count()).fit(train)
+    scored = models.batch_inference(read(s, d, "documents"), model, 0.5)
+    return scored.select("doc_id", "prediction", F.round("positive", 6).alias("positive"), "passed")
+
+
+query("batch_inference")(_inferred)
 
 
 def _linear(fit, s: SparkSession, d: str) -> DataFrame:
