@@ -106,7 +106,7 @@ def bootstrap(rows, limits=pii.Limits()):
             values = [v for q, v in pairs if q == p]
             for k in pii.KINDS:
                 some = [v for v in values if (v, k) in trust]
-                c = round(sum(trust[v, k] for v in some) / len(values), 9)
+                c = round(sum(trust[v, k] for v in some) / len(values), pii.DECIMALS)
                 if len(set(some)) >= limits.min_support and c >= limits.min_confidence:
                     accepted[p, k] = c
         new = dict(trust)

@@ -48,6 +48,10 @@ TAIL = r"(?<![\"'()\[\]<>{},;.!?#*|$%&~^`\\])[\"'()\[\]<>{},;.!?#*|$%&~^`\\]++$"
 SECRET = r"^(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{16,}$"
 
 
+#: Decimals of a confidence: a pattern's own finds raise it towards 1, by ever less, and this ends that.
+DECIMALS = 4
+
+
 @dataclass(frozen=True)
 class Limits:
     """What a candidate and a pattern need.
@@ -181,7 +185,7 @@ def learn(tokens: DataFrame, limits: Limits = Limits()) -> DataFrame:
         accepted = cut(
             votes.where(F.col("support") >= limits.min_support)
             .join(totals, "pattern")
-            .select("pattern", "kind", F.round(F.col("weight") / F.col("total"), 9).alias("confidence"))
+            .select("pattern", "kind", F.round(F.col("weight") / F.col("total"), DECIMALS).alias("confidence"))
             .where(F.col("confidence") >= limits.min_confidence)
         )
         found = lookup(spread, accepted, "pattern", accepted.count()).select("value", "kind", F.col("confidence").alias("trust"))
