@@ -278,3 +278,17 @@ def test_queries_keep_the_operators_defaults(monkeypatch):
                 queries.queries()[name](None, "")
     assert {k: v[0][1] for k, v in seen.items()} == {n: {} for n in names[:-1]} | {"train_test_hashing": {"vectorizer": "hashing"}}
     assert seen["clustering"][0][0] == 3
+
+
+def test_gradients_in_pieces_give_the_same_model(spark, labelled, monkeypatch):
+    """The words themselves stay away from the driver, and a gradient of many pieces is summed before it gets there."""
+    from weirflow.operators import linear
+
+    whole = models.text_pipeline(8).fit(labelled)
+    monkeypatch.setattr(linear, "PIECE", 3)
+    cut = models.text_pipeline(8).fit(labelled)
+    assert cut.stages[-1].coefficients.toArray() == pytest.approx(whole.stages[-1].coefficients.toArray(), abs=1e-9)
+    known, idf = whole.stages[1].shared.value
+    assert known.dtype == "int64" and len(known) == len(idf) == len(whole.stages[1].vocabulary)
+    unseen = whole.transform(spark.createDataFrame([("never seen", 0.0), (None, 1.0)], "text string, label double")).collect()
+    assert [r._features.numNonzeros() for r in unseen] == [0, 0]
