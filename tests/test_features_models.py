@@ -292,3 +292,9 @@ def test_gradients_in_pieces_give_the_same_model(spark, labelled, monkeypatch):
     assert known.dtype == "int64" and len(known) == len(idf) == len(whole.stages[1].vocabulary)
     unseen = whole.transform(spark.createDataFrame([("never seen", 0.0), (None, 1.0)], "text string, label double")).collect()
     assert [r._features.numNonzeros() for r in unseen] == [0, 0]
+
+
+def test_hashing_makes_no_python_row_of_a_vector(spark):
+    table = text_features.hashing_vectorizer(spark.createDataFrame([("a bb bb",), (None,)], "text string"), n_features=8)
+    assert "BatchEvalPython" not in table._jdf.queryExecution().executedPlan().toString()
+    assert [r.features.numNonzeros() for r in table.collect()] == [1, 0]
