@@ -298,3 +298,20 @@ def test_hashing_makes_no_python_row_of_a_vector(spark):
     table = text_features.hashing_vectorizer(spark.createDataFrame([("a bb bb",), (None,)], "text string"), n_features=8)
     assert "BatchEvalPython" not in table._jdf.queryExecution().executedPlan().toString()
     assert [r.features.numNonzeros() for r in table.collect()] == [1, 0]
+
+
+def test_embedding_values_round_as_sql_does(spark, tmp_path):
+    """41 / 640 ends in a 5 at the seventh place; as a double, a million times it lies under the half."""
+    import duckdb
+
+    from weirflow import queries
+
+    n, k = 41, 640
+    left, parts = k * k - n * n, []
+    while left:
+        parts.append(math.isqrt(left))
+        left -= parts[-1] ** 2
+    text = "p" * n + "".join(chr(97 + i) * c for i, c in enumerate(parts))
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.slot: r.value for r in queries.queries()["fake_embedding"](spark, str(tmp_path)).collect()}
+    assert got[0] == duckdb.sql(f"SELECT round({n}::DOUBLE / {k}, 6)").fetchall()[0][0] == 0.064062
