@@ -315,3 +315,12 @@ def test_embedding_values_round_as_sql_does(spark, tmp_path):
     spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.slot: r.value for r in queries.queries()["fake_embedding"](spark, str(tmp_path)).collect()}
     assert got[0] == duckdb.sql(f"SELECT round({n}::DOUBLE / {k}, 6)").fetchall()[0][0] == 0.064062
+
+
+def test_pair_scores_take_each_row_once(spark):
+    """No pass over single Python objects in front of the scorers: the plan hands over Arrow batches."""
+    df = spark.createDataFrame([("r", [1, 2, 4], [0, 1, 0], [2], [0])], "row_id string, ids_a array<int>, mask_a array<int>, ids_b array<int>, mask_b array<int>")
+    out = models.pair_scores(df.repartition(2), lambda ids, masks: [[float(len(i)), float(sum(m))] for i, m in zip(ids, masks, strict=True)], lambda ids, masks: [[0.0, float(i[0])] for i in ids])
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+    row = out.first()
+    assert row.score_a == pytest.approx(1 / (1 + math.e)) and row.score_b == pytest.approx(1 / (1 + math.exp(-2)))

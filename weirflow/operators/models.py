@@ -10,8 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from itertools import pairwise
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.clustering import KMeans
@@ -329,19 +331,25 @@ def pair_scores(df: DataFrame, score_a: Callable, score_b: Callable) -> DataFram
     to the longest mask of its batch, and returns two logits a row.
     """
 
-    def run(batches):
-        import numpy as np
+    def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ends = column.offsets.to_numpy()
+        return ends - ends[0], column.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]]
 
-        for pdf in batches:
-            for at in range(0, len(pdf), PAIR_BATCH):
-                part = pdf.iloc[at : at + PAIR_BATCH]
-                out = {"row_id": part["row_id"].to_numpy()}
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, PAIR_BATCH):
+                part = batch.slice(at, PAIR_BATCH)
+                out = [part.column("row_id")]
                 for name, score in (("a", score_a), ("b", score_b)):
-                    masks = [np.asarray(m) for m in part[f"mask_{name}"]]
-                    longest = max(1, max((int(np.flatnonzero(m)[-1]) + 1 if m.any() else 0 for m in masks), default=1))
-                    logits = np.asarray(score([np.asarray(t)[:longest].tolist() for t in part[f"ids_{name}"]], [m[:longest].tolist() for m in masks]), dtype=float)
+                    (ends, masks), (starts, ids) = lists(part.column(f"mask_{name}")), lists(part.column(f"ids_{name}"))
+                    set_at = np.flatnonzero(masks)
+                    # places of the set parts of masks in their rows
+                    longest = max(1, int((set_at - ends[np.searchsorted(ends, set_at, "right") - 1]).max(initial=0)) + 1)
+                    ids, masks = ids.tolist(), masks.tolist()
+                    logits = np.asarray(score([ids[i : min(i + longest, j)] for i, j in pairwise(starts)], [masks[i : min(i + longest, j)] for i, j in pairwise(ends)]), dtype=float)
                     e = np.exp(logits - logits.max(axis=1, keepdims=True))
-                    out[f"score_{name}"] = e[:, 1] / e.sum(axis=1)
-                yield pd.DataFrame(out)
+                    out.append(pa.array(e[:, 1] / e.sum(axis=1)))
+                yield pa.RecordBatch.from_arrays(out, ["row_id", "score_a", "score_b"])
 
-    return df.mapInPandas(run, "row_id string, score_a double, score_b double")
+    columns = ("row_id", "ids_a", "mask_a", "ids_b", "mask_b")
+    return df.select(*columns).mapInArrow(run, "row_id string, score_a double, score_b double")
