@@ -324,3 +324,19 @@ def test_pair_scores_take_each_row_once(spark):
     assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
     row = out.first()
     assert row.score_a == pytest.approx(1 / (1 + math.e)) and row.score_b == pytest.approx(1 / (1 + math.exp(-2)))
+
+
+def test_tfidf_moves_texts_once_and_merges_equal_ids(spark, monkeypatch):
+    monkeypatch.setattr(text_features, "BUCKET_CHARS", 20)
+    df = spark.createDataFrame([(1, "aa bb"), (1, "aa cc"), (2, "bb"), (3, None), (None, "aa dd")], "row_id int, text string")
+    out = text_features.tfidf(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan
+    got = {(r.row_id, r.term): (r.tf, r.weight) for r in out.collect()}
+    idf = {w: math.log(6 / (1 + n)) + 1 for w, n in {"aa": 2, "bb": 2, "cc": 1, "dd": 1}.items()}
+    rows = {1: {"aa": 2, "bb": 1, "cc": 1}, 2: {"bb": 1}, None: {"aa": 1, "dd": 1}}
+    for i, c in rows.items():
+        length = math.sqrt(sum((n * idf[w]) ** 2 for w, n in c.items()))
+        for w, n in c.items():
+            assert got.pop((i, w)) == (n, pytest.approx(n * idf[w] / length))
+    assert not got
