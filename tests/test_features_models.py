@@ -340,3 +340,15 @@ def test_tfidf_moves_texts_once_and_merges_equal_ids(spark, monkeypatch):
         for w, n in c.items():
             assert got.pop((i, w)) == (n, pytest.approx(n * idf[w] / length))
     assert not got
+
+
+def test_pairs_are_made_in_blocks(spark, monkeypatch):
+    """Vectors of odd kinds beside the rest; the plan has no expression over single numbers of a pair."""
+    monkeypatch.setattr(text_features, "BLOCK", 2)
+    rows = [("a", [3.0, 4.0]), ("b", [4.0, -3.0]), ("n", None), ("m", [1.0, None]), ("s", [1.0]), ("e", []), ("z", [0.0, 0.0]), ("c", [6.0, 8.0])]
+    df = spark.createDataFrame(rows, "row_id string, vector array<double>").repartition(2)
+    out = text_features.similarity(df)
+    assert "zip_with" not in out._jdf.queryExecution().executedPlan().toString() and "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r.left_id, r.right_id): r.similarity for r in out.collect()}
+    want = {(i, j): 0.0 for i, _ in rows for j, _ in rows} | {(i, j): 1.0 for i in "ac" for j in "ac"} | {("b", "b"): 1.0, ("s", "s"): 1.0}
+    assert got == pytest.approx(want, abs=1e-12)
