@@ -300,23 +300,6 @@ def test_hashing_makes_no_python_row_of_a_vector(spark):
     assert [r.features.numNonzeros() for r in table.collect()] == [1, 0]
 
 
-def test_embedding_values_round_as_sql_does(spark, tmp_path):
-    """41 / 640 ends in a 5 at the seventh place; as a double, a million times it lies under the half."""
-    import duckdb
-
-    from weirflow import queries
-
-    n, k = 41, 640
-    left, parts = k * k - n * n, []
-    while left:
-        parts.append(math.isqrt(left))
-        left -= parts[-1] ** 2
-    text = "p" * n + "".join(chr(97 + i) * c for i, c in enumerate(parts))
-    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.slot: r.value for r in queries.queries()["fake_embedding"](spark, str(tmp_path)).collect()}
-    assert got[0] == duckdb.sql(f"SELECT round({n}::DOUBLE / {k}, 6)").fetchall()[0][0] == 0.064062
-
-
 def test_pair_scores_take_each_row_once(spark):
     """No pass over single Python objects in front of the scorers: the plan hands over Arrow batches."""
     df = spark.createDataFrame([("r", [1, 2, 4], [0, 1, 0], [2], [0])], "row_id string, ids_a array<int>, mask_a array<int>, ids_b array<int>, mask_b array<int>")
@@ -352,3 +335,29 @@ def test_pairs_are_made_in_blocks(spark, monkeypatch):
     got = {(r.left_id, r.right_id): r.similarity for r in out.collect()}
     want = {(i, j): 0.0 for i, _ in rows for j, _ in rows} | {(i, j): 1.0 for i in "ac" for j in "ac"} | {("b", "b"): 1.0, ("s", "s"): 1.0}
     assert got == pytest.approx(want, abs=1e-12)
+
+
+def test_char_scores_merge_equal_ids(spark):
+    model = [{"feature": "aa", "idf": 1.0, "coefficient": 1.0}, {"feature": " b", "idf": 1.0, "coefficient": -2.0}]
+    out = text_features.char_wb_score(spark.createDataFrame([("1", "aaaa b"), ("1", "b"), ("2", None)], "row_id string, text string"), model, 0.0)
+    assert "Generate explode" not in out._jdf.queryExecution().executedPlan().toString()
+    a, b = 1 + math.log(3), 1 + math.log(2)
+    score = 1 / (1 + math.exp(-(a - 2 * b) / math.hypot(a, b)))
+    assert sorted((r.row_id, round(r.score, 9)) for r in out.collect()) == [("1", round(score, 9))] * 2 + [("2", 0.5)]
+
+
+def test_embedding_values_round_as_sql_does(spark, tmp_path):
+    """41 / 640 ends in a 5 at the seventh place; as a double, a million times it lies under the half."""
+    import duckdb
+
+    from weirflow import queries
+
+    n, k = 41, 640
+    left, parts = k * k - n * n, []
+    while left:
+        parts.append(math.isqrt(left))
+        left -= parts[-1] ** 2
+    text = "p" * n + "".join(chr(97 + i) * c for i, c in enumerate(parts))
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.slot: r.value for r in queries.queries()["fake_embedding"](spark, str(tmp_path)).collect()}
+    assert got[0] == duckdb.sql(f"SELECT round({n}::DOUBLE / {k}, 6)").fetchall()[0][0] == 0.064062
